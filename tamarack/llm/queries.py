@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tamarack.llm import survivor
+from tamarack.llm import pairs, survivor
 
 QUERIES = {
+    "p2_found": lambda spark, d: pairs.pairs_of(spark, d),
+    "p2_report": lambda spark, d: pairs.pairs_of(spark, d).groupBy("defect").count().withColumnRenamed("count", "pairs"),
     "p6_found": lambda spark, d: survivor.survivors_of(spark, d).select("row_id", "quantity"),
     "p6_records": lambda spark, d: survivor.survivor_records(survivor.survivors_of(spark, d)),
 }
