@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.functions.keys import entity_number, is_known, stripped
-from tamarack.session import broadcast_if_small, load, materialise
+from tamarack.session import BROADCAST_ROWS, load, materialise
 
 ALWAYS, NEVER = -(2**31), 2**31 - 1
 
@@ -33,10 +33,18 @@ def key_dictionary(parents: DataFrame) -> DataFrame:
     return materialise(ranged.select("parent", "key", (-1 - F.monotonically_increasing_id()).alias("code")))
 
 
-def encode(df: DataFrame, dictionary: DataFrame, how: str) -> DataFrame:
-    """Adds code: the key's number, or its place in the dictionary (null when it has none and how is left)."""
+def encode(df: DataFrame, dictionary: DataFrame, small: bool) -> DataFrame:
+    """Adds code: the key's number, or its place in the dictionary, null when it has none.
+
+    A small dictionary is broadcast and met in the same pass; with a large one
+    only the text keys go through a shuffle join.
+    """
+    text = F.when(F.col("number").isNull(), F.col("key"))
+    if small:
+        met = df.withColumn("text", text).join(F.broadcast(dictionary.select("parent", F.col("key").alias("text"), F.col("code").alias("place"))), ["parent", "text"], "left")
+        return met.withColumn("code", F.coalesce("number", "place")).drop("text", "place")
     numeric = df.where("number is not null").withColumn("code", F.col("number"))
-    texts = df.where("number is null").join(dictionary, ["parent", "key"], how)
+    texts = df.where("number is null").join(dictionary, ["parent", "key"], "left")
     return numeric.unionByName(texts.select(*numeric.columns))
 
 
@@ -55,9 +63,9 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     """
     parents = parents.where("key is not null").select("parent", "key", "number", "loaded_at", "deleted_at").distinct()
     dictionary = key_dictionary(parents)
-    lookup = broadcast_if_small(dictionary)
-    refs = encode(references.withColumn("month", F.coalesce(month_number(F.col("at")), F.lit(NEVER))), lookup, "left")
-    kept = encode(parents, lookup, "inner").select("parent", "code", "loaded_at", "deleted_at")
+    small = dictionary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    refs = encode(references.withColumn("month", F.coalesce(month_number(F.col("at")), F.lit(NEVER))), dictionary, small)
+    kept = encode(parents, dictionary, small).select("parent", "code", "loaded_at", "deleted_at")
 
     bit = F.expr("shiftleft(1L, cast(code & 63 as int))")
     word = F.expr("shiftright(code, 6)").alias("word")
