@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from tamarack.llm import pairs, survivor
+from tamarack.llm import packing, pairs, splitting, survivor
 
 QUERIES = {
     "p2_found": lambda spark, d: pairs.pairs_of(spark, d),
     "p2_report": lambda spark, d: pairs.pairs_of(spark, d).groupBy("defect").count().withColumnRenamed("count", "pairs"),
+    "p4_requests": packing.requests_of,
+    "p4_summary": packing.summary_of,
+    "p5_found": lambda spark, d: splitting.pieces_of(spark, d).where("piece = 0 and pieces > 1").select("unit_id"),
+    "p5_pieces": splitting.pieces_of,
     "p6_found": lambda spark, d: survivor.survivors_of(spark, d).select("row_id", "quantity"),
     "p6_records": lambda spark, d: survivor.survivor_records(survivor.survivors_of(spark, d)),
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p5_found": "SELECT unit_id FROM extraction_unit WHERE floor(length(text) / 4) > 1000",
+}
