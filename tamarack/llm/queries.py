@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamarack.llm import packing, pairs, splitting, survivor
+from tamarack.llm import leakage, packing, pairs, splitting, survivor
 
 QUERIES = {
     "p2_found": lambda spark, d: pairs.pairs_of(spark, d),
@@ -12,6 +12,8 @@ QUERIES = {
     "p5_found": lambda spark, d: splitting.pieces_of(spark, d).where("piece = 0 and pieces > 1").select("unit_id"),
     "p5_pieces": splitting.pieces_of,
     "p6_found": lambda spark, d: survivor.survivors_of(spark, d).select("row_id", "quantity"),
+    "p7_found": leakage.leaks_of,
+    "p7_report": lambda spark, d: leakage.leak_report(leakage.leaks_of(spark, d)),
     "p6_records": lambda spark, d: survivor.survivor_records(survivor.survivors_of(spark, d)),
 }
 ORACLE = {
