@@ -36,7 +36,7 @@ SUBJECT_SHARE = 0.25
 #: A seed's subject is trusted when the graph finds at least this share of it.
 TRUSTED_SHARE = 0.1
 #: Smoothing of a term's subject counts; the information in nats a term must carry; a passage's least score and lead.
-SMOOTHING, INFORMATION, LEAST_SCORE, LEAST_LEAD = 0.4, 0.4, 0.5, 0.5
+SMOOTHING, INFORMATION, LEAST_SCORE, LEAST_LEAD = 0.4, 0.6, 0.5, 0.5
 
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n+|(?<=[。！？；])")
 _TERM = re.compile(r"[一-鿿]+|(?:(?![一-鿿])[^\W\d_])+")
