@@ -78,7 +78,7 @@ def term_counts(documents: DataFrame) -> DataFrame:
 
 def vocabulary(documents: DataFrame) -> dict[tuple[int, str], int]:
     """Numbers of the linking terms, after those of the languages. The least share bounds them, so they fit on the driver."""
-    counts = term_counts(documents)
+    counts = materialise(term_counts(documents))
     totals = {r["lang"]: r["docs"] for r in counts.where("term = ''").collect()}
     limits = documents.sparkSession.createDataFrame([(lang, float(max(2, LEAST_SHARE * n)), float(max(3, MOST_SHARE * n))) for lang, n in totals.items()] or [(0, 0.0, 0.0)], "lang int, least double, most double")
     kept = counts.where("term <> ''").join(F.broadcast(limits), "lang").where("docs >= least and docs <= most").select("lang", "term").collect()
