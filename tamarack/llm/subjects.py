@@ -197,6 +197,6 @@ def document_subjects(shares: DataFrame) -> DataFrame:
 def corpus_shares(shares: DataFrame, documents: DataFrame) -> DataFrame:
     """subject_id, documents, share: the share of each subject in the text of the corpus."""
     size = documents.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("chars"))
-    total = size.agg(F.sum("chars").alias("all"))
+    total = size.agg(F.sum("chars")).first()[0] or 1
     part = shares.join(size, "doc_id").groupBy("subject_id").agg(F.count_if(F.col("share") >= SUBJECT_SHARE - 1e-9).alias("documents"), F.sum(F.col("share") * F.col("chars")).alias("chars"))
-    return part.join(F.broadcast(total)).select("subject_id", "documents", F.round(F.col("chars") / F.col("all"), 6).alias("share"))
+    return part.select("subject_id", "documents", F.round(F.col("chars") / total, 6).alias("share"))
