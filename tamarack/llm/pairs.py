@@ -237,11 +237,15 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def terminal_contexts(steps: DataFrame) -> DataFrame:
     """context, ends: how often the sentences of all responses end with it, before a final mark."""
     text = F.regexp_replace("raw_response", r"\\n", " ")
-    words = F.regexp_extract_all(text, F.lit(r"((?:[^\s.!?。！？]+\s+){2}[^\s!?。！？\"]*[^\s.!?。！？\"'”’»)\]])[\"'”’»)\]]*[.!?](?=[\"'”’»)\]\s]|$)"), F.lit(1))
-    han = F.regexp_extract_all(text, F.lit(r"([^\s。！？]{3}[\x{4e00}-\x{9fff}])[。！？]"), F.lit(1))
-    seen = steps.select(F.explode(F.concat(words, han)).alias("c"))
-    seen = seen.select(F.lower(F.regexp_replace(F.regexp_replace("c", r"\s+", " "), r"\d+", "0")).alias("context"))
-    return seen.groupBy("context").agg(F.count("*").alias("ends"))
+    # What stands after the last final mark ends no sentence; the pieces before do.
+    pieces = F.split(text, r"[.!?](?=[\"'”’»)\]\s]|$)|[。！？]")
+    ended = steps.select(F.explode(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("s"))
+    tail = F.regexp_replace("s", r"[\"'”’»)\]\s]+$", "")
+    han = tail.rlike(r"[\x{4e00}-\x{9fff}]$")
+    words = F.split(tail, r"\s+")
+    last = F.when(han, F.right(tail, F.lit(4))).otherwise(F.lower(F.array_join(F.slice(words, F.greatest(F.size(words) - CONTEXT_WORDS + 1, F.lit(1)), CONTEXT_WORDS), " ")))
+    seen = ended.select(F.regexp_replace(last, r"\d+", "0").alias("context"))
+    return seen.where("context <> ''").groupBy("context").agg(F.count("*").alias("ends"))
 
 
 def broken_pairs(steps: DataFrame) -> DataFrame:
