@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 
 from tamarack.functions.keys import is_known
 from tamarack.functions.quantities import COMMON_UNIT, column_meaning, conversion_table, unit_table
-from tamarack.session import load
+from tamarack.session import broadcast_if_small, load, materialise
+
+#: Columns that canonical_values() adds; such columns of its input are dropped.
+ADDED = frozenset(("col_name", "field", "raw", "confidence", "is_correction", "number", "unit_text", "plain", "feet", "quantity", "col_unit", "spelling", "unit", "common", "guesses", "value", "a", "b"))
 
 #: The values of one record, by column name.
 FIELDS = T.MapType(T.StringType(), T.StructType([T.StructField("value", T.StringType()), T.StructField("confidence", T.StringType()), T.StructField("is_correction", T.BooleanType())]))
@@ -86,8 +89,8 @@ def explode_fields(records: DataFrame) -> DataFrame:
 def canonical_values(records: DataFrame, columns: DataFrame) -> DataFrame:
     """Every value in the common unit of its quantity.
 
-    records: row_id, source_table, fields_json, further columns are kept.
-    columns: in_table, col_name, description.
+    records: row_id, source_table, fields_json; further columns are kept, except
+    those named like an added one. columns: in_table, col_name, description.
     Adds col_name, raw, confidence, is_correction, number, quantity, unit,
     common, value. A unit given with the value counts before one in the
     column's name, that before its description; without any, the unit is the
@@ -95,12 +98,14 @@ def canonical_values(records: DataFrame, columns: DataFrame) -> DataFrame:
     that hold no known quantity are left out.
     """
     spark = records.sparkSession
-    values = explode_fields(records)
+    values = explode_fields(records.drop(*(c for c in records.columns if c in ADDED)))
     # The listing lacks some columns: their names alone must tell what they hold.
-    seen = values.select(F.col("source_table").alias("in_table"), "col_name").distinct()
+    names = F.explode(F.map_keys(F.from_json("fields_json", T.MapType(T.StringType(), T.StringType()))))
+    seen = records.select(F.col("source_table").alias("in_table"), names.alias("col_name")).distinct()
     listed = columns.select("in_table", "col_name", "description")
     unlisted = seen.join(listed, ["in_table", "col_name"], "left_anti").withColumn("description", F.lit(None).cast("string"))
-    meanings = column_quantities(listed.unionByName(unlisted)).withColumnRenamed("in_table", "source_table")
+    # A few dozen names meet all values; as a shuffle join they would be a few dozen hot keys.
+    meanings = broadcast_if_small(materialise(column_quantities(listed.unionByName(unlisted)).withColumnRenamed("in_table", "source_table")))
     units = conversions(spark)
     known = values.join(meanings, ["source_table", "col_name"])
     spelling = F.regexp_replace("unit_text", r"\.$", "")
