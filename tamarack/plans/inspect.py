@@ -17,7 +17,7 @@ def optimized(df: DataFrame) -> str:
 
 def has_cross_join(df: DataFrame) -> bool:
     """A join without condition in the optimized plan; comma joins that a filter links are none."""
-    return bool(re.search(r"^[\s:+-]*Join (?:Cross|Inner)\s*(?:,.*)?$", optimized(df), re.M))
+    return bool(re.search(r"^[\s:+-]*Join (?:Cross|Inner)\s*(?:, (?:left|right)Hint=.*)?$", optimized(df), re.M))
 
 
 def conjuncts(df: DataFrame) -> list[str]:
