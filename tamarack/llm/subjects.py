@@ -28,13 +28,15 @@ from tamarack.session import BROADCAST_ROWS, load, materialise
 
 LANGUAGES = ("en", "de", "es", "zh")
 ROUNDS = 4
-#: A term links documents when between these shares of its language's documents have it. At
-#: LEAST_SHARE a document of n distinct terms accounts for n / LEAST_SHARE terms at most, whatever the corpus.
-LEAST_SHARE, MOST_SHARE = 0.002, 0.4
+#: A term links documents when at least this share of its language's documents have it. Documents of n
+#: distinct terms on average leave n / LEAST_SHARE terms at most, whatever the corpus.
+LEAST_SHARE = 0.002
 #: A subject counts from this share of a document's text on.
 SUBJECT_SHARE = 0.25
 #: A seed's subject is trusted when the graph finds at least this share of it.
 TRUSTED_SHARE = 0.1
+#: Part of the information a term of its subject could carry that it must carry, if that is less than INFORMATION.
+INFORMED = 0.4
 #: Smoothing of a term's subject counts; the information in nats a term must carry; a passage's least score and lead.
 SMOOTHING, INFORMATION, LEAST_SCORE, LEAST_LEAD = 0.4, 0.6, 0.5, 0.5
 
@@ -80,8 +82,8 @@ def vocabulary(documents: DataFrame) -> dict[tuple[int, str], int]:
     """Numbers of the linking terms, after those of the languages. The least share bounds them, so they fit on the driver."""
     counts = materialise(term_counts(documents))
     totals = {r["lang"]: r["docs"] for r in counts.where("term = ''").collect()}
-    limits = documents.sparkSession.createDataFrame([(lang, float(max(2, LEAST_SHARE * n)), float(max(3, MOST_SHARE * n))) for lang, n in totals.items()] or [(0, 0.0, 0.0)], "lang int, least double, most double")
-    kept = counts.where("term <> ''").join(F.broadcast(limits), "lang").where("docs >= least and docs <= most").select("lang", "term").collect()
+    limits = documents.sparkSession.createDataFrame([(lang, float(max(2, LEAST_SHARE * n))) for lang, n in totals.items()] or [(0, 0.0)], "lang int, least double")
+    kept = counts.where("term <> ''").join(F.broadcast(limits), "lang").where("docs >= least").select("lang", "term").collect()
     return {key: k for k, key in enumerate(sorted((r["lang"], r["term"]) for r in kept), len(LANGUAGES))}
 
 
@@ -140,7 +142,9 @@ def _scores(names: list[int], c: np.ndarray, lang_of: np.ndarray) -> pd.DataFram
     own, prior = c[keep], base[lang_of[[names[k] for k in keep]]]
     p = (own + SMOOTHING * prior) / (own.sum(1, keepdims=True) + SMOOTHING)
     lift = np.log(p / prior)
-    told = (p * lift).sum(1) > INFORMATION
+    # A frequent subject leaves less to be told: the bound is at most INFORMED of what its terms could tell.
+    top = prior[np.arange(len(keep)), lift.argmax(1)]
+    told = (p * lift).sum(1) > np.minimum(INFORMATION, -INFORMED * np.log(top))
     return pd.DataFrame({"term": [names[keep[k]] for k in np.flatnonzero(told)], "lift": list(lift[told])})
 
 
