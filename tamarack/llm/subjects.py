@@ -36,7 +36,7 @@ SUBJECT_SHARE = 0.25
 #: A seed's subject is trusted when the graph finds at least this share of it.
 TRUSTED_SHARE = 0.1
 #: Part of the information a term of its subject could carry that it must carry, if that is less than INFORMATION.
-INFORMED = 0.4
+INFORMED = 0.3
 #: Smoothing of a term's subject counts; the information in nats a term must carry; a passage's least score and lead.
 SMOOTHING, INFORMATION, LEAST_SCORE, LEAST_LEAD = 0.4, 0.6, 0.5, 0.5
 
