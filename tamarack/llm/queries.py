@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamarack.llm import leakage, mixing, packing, pairs, splitting, subjects, survivor
+from tamarack.llm import leakage, mixing, packing, pairs, splitting, subjects, survivor, survivor_sql
 from tamarack.session import load
 
 QUERIES = {
@@ -22,5 +22,6 @@ QUERIES = {
     "p6_records": lambda spark, d: survivor.survivor_records(survivor.survivors_of(spark, d)),
 }
 ORACLE = {
+    "p6_found": survivor_sql.P6_FOUND,
     "p5_found": "SELECT unit_id FROM extraction_unit WHERE floor(length(text) / 4) > 1000",
 }
