@@ -145,3 +145,70 @@ def knowledge_fields(text: Column) -> Column:
     p = r"(?m)^[-*] \*\*([^(*\n]+?)(?: \(([^)\n]*)\))?:\*\* *([^\n]*)"
     part = lambda g: F.regexp_extract_all(text, F.lit(p), F.lit(g))
     return F.arrays_zip(part(1).alias("name"), part(2).alias("type"), part(3).alias("description"))
+
+
+def chunks(docs: DataFrame, chars: int, parts: int, text: str = "text", least: int = 1) -> DataFrame:
+    """doc_id, chunk, chars, parts: paragraphs of at least least characters packed in order, a new chunk when characters or parts would pass their limits."""
+    pieces = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+    start = F.array().cast("array<struct<chars:int,parts:int>>")
+
+    def step(units: Column, piece: Column) -> Column:
+        last = F.try_element_at(units, F.lit(-1))
+        grown = F.struct((last["chars"] + F.length(piece)).cast("int").alias("chars"), (last["parts"] + 1).alias("parts"))
+        fits = F.coalesce((last["chars"] + F.length(piece) <= chars) & (last["parts"] < parts), F.lit(False))
+        return F.when(fits, F.concat(F.slice(units, 1, F.size(units) - 1), F.array(grown))).otherwise(F.concat(units, F.array(F.struct(F.length(piece).alias("chars"), F.lit(1).alias("parts")))))
+
+    packed = docs.select("doc_id", F.aggregate(pieces, start, step).alias("units"))
+    return packed.select("doc_id", F.posexplode("units").alias("chunk", "u")).select("doc_id", "chunk", "u.chars", "u.parts")
+
+
+def stratified_sample(parts: DataFrame, text: str, order: str, spaced: int = 5) -> DataFrame:
+    """The shortest, the longest, the median and evenly spaced parts; the sample is what is asked for."""
+    n = parts.count()
+    if not n:
+        return parts
+    counts = parts.groupBy(F.length(text).alias("len")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    rows = sorted((r["len"], r["n"], r["first"]) for r in counts.where("len is not null").collect())
+    middle, seen = rows[-1][2], 0
+    for _, k, first in rows:
+        seen += k
+        if 2 * seen >= n:
+            middle = first
+            break
+    low, high = parts.agg(F.min(order), F.max(order)).first()
+    step = max(1, (high - low + 1) // spaced)
+    wanted = {rows[0][2], rows[-1][2], middle} | {low + i * step for i in range(spaced)}
+    return parts.where(F.col(order).isin(*wanted))
+
+
+def known_value(c: Column, values: list[str]) -> Column:
+    """The known value a text mentions most often, the longer one on ties; for a few dozen values."""
+    t = F.lower(c)
+    count = lambda v: F.size(F.split(t, F.lit(rf"\Q{v.lower()}\E"))) - 1
+    found = F.filter(F.array(*(F.struct((-count(v)).alias("less"), F.lit(-len(v)).alias("len"), F.lit(v).alias("v")) for v in values)), lambda x: x["less"] < 0)
+    return F.array_min(found)["v"]
+
+
+def canonical_values(df: DataFrame, column: str, least: int = 2, longest: int = 30) -> DataFrame:
+    """value, canonical: verbose values that begin with or end in a short value seen least times or more stand for it.
+
+    Short values have at most longest characters; they are compared by their words' first and last, in equi-joins.
+    """
+    counts = df.where(F.trim(column) != "").groupBy(F.lower(F.trim(column)).alias("value")).agg(F.count("*").alias("n"))
+    short = counts.where((F.col("n") >= least) & (F.length("value") <= longest)).select(F.col("value").alias("canonical"))
+    words = F.split("value", r"\s+")
+    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.size(words) - i + 1, i), " "))
+    forms = counts.select("value", F.explode(F.array_distinct(F.concat(heads, tails))).alias("canonical")).where("canonical <> value")
+    return forms.join(short, "canonical").groupBy("value").agg(F.min_by("canonical", F.struct(F.length("canonical"), "canonical")).alias("canonical"))
+
+
+def normalise_date_column(df: DataFrame, column: str, share: float = 0.5, least: int = 3) -> DataFrame:
+    """A column of prose dates as ISO text, if at least half of three values or more are such dates; a month without day counts as its first."""
+    months = "|".join(MONTHS)
+    month_only = F.when(F.lower(F.trim(column)).rlike(rf"^(?:{months}) [0-9]{{4}}$"), F.concat(F.regexp_replace(F.trim(column), " ", " 1, ")))
+    day = F.coalesce(prose_date(F.col(column)), prose_date(month_only))
+    row = df.agg(F.count(column).alias("n"), F.count(day).alias("d")).first()
+    if row["n"] < least or row["d"] < share * row["n"]:
+        return df
+    return df.withColumn(column, F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.col(column)))
