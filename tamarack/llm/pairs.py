@@ -49,7 +49,7 @@ _THINK = re.compile(r"<think(?:ing)?>.*?(?:</think(?:ing)?>|\Z)", re.S | re.I)
 _FENCE = re.compile(r"```[ \t]*([\w+-]*)[ \t]*\n?(.*?)(```|\Z)", re.S)
 _NOTHING = frozenset(("", "null", "none", "n/a", "na", "nan", "-", "--", "{}", "[]", '""', "''", "...", "…", "undefined", "empty", "无", "nil"))
 _FINAL = re.compile(r"[.!?。！？](?:[\"'”’»)\]*_`]*)$")
-_SQL_START = re.compile(r"^\s*(?:select|with|insert|update|delete|create|pragma|explain)\b", re.I)
+_SQL_START = re.compile(r"^\s*(?:select\b|with\s+\w+\s+as\s*\(|insert\s+into\b|update\s+\w+\s+set\b|delete\s+from\b|create\s+(?:table|view)\b|pragma\s|explain\s+(?:query\s+plan\s+)?select\b)", re.I)
 _SHORT = re.compile(r"^[-*•]?\s*(?:[\w.%\"'-]+(?:\s[\w.%-]+)?\s*(?:[:=：]|==)\s*)?[\"']?[-+]?[\w.,%/-]*\d[\w.,%/:-]*[\"']?$")
 
 

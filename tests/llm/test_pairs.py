@@ -30,6 +30,12 @@ def test_every_defect(spark):
     assert {i: (got.get(i), rows[i][2]) for i in wanted if got.get(i) != wanted[i]} == {}
 
 
+def test_fenced_prompt_that_begins_like_a_statement():
+    ask = "Explain why the last query on budget came back with no rows."
+    assert pairs.judge(ask, f"```\n{ask}\n```") == ("copy", None)
+    assert pairs.judge(ask, "```\nEXPLAIN SELECT a FROM t WHERE\n```") == ("truncated", None)
+
+
 def test_nulls_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, None, "All rows were kept."), (2, None, None), (2, None, None)], "step_id long, thought string, raw_response string")
     assert sorted(tuple(r) for r in pairs.broken_pairs(df).collect()) == [(2, "empty"), (2, "empty")]
