@@ -103,26 +103,26 @@ def foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], min_overlap:
     integers overlap without meaning anything.
     """
     keys = {t: [f.name for f in df.schema if _joinable(f.name)] for t, df in tables.items()}
-    facts = uniqueness(tables, keys)
-    primary = {}
-    for t, names in keys.items():
-        own = [c for c in names if facts[t, c][2] >= 0.9 * max(1, facts[t, c][0])]
-        named = [c for c in own if _names_table(_stem(c), t)]
-        if named or own:
-            primary[t] = (named or own)[0]
-    rows = []
+    # Only tables that some column of another table names are asked for a key, and only columns that may be it are counted.
+    wanted = {u: [c for c in keys[u] if _names_table(_stem(c), u)] or keys[u] for u in tables if any(t != u and (_names_table(_stem(c), u) or c in keys[u]) for t in tables for c in keys[t])}
+    facts = uniqueness(tables, wanted)
+    primary = {u: c for u, names in wanted.items() if (c := next((c for c in names if facts[u, c][2] >= 0.9 * max(1, facts[u, c][0])), None))}
+    found = []
     for t, names in keys.items():
         for c in names:
             for u, ref in primary.items():
-                if u == t or not (_names_table(_stem(c), u) and _names_table(_stem(ref), u) or c.lower() == ref.lower()):
+                same = c.lower() == ref.lower()
+                if u == t or not (same or _names_table(_stem(c), u) and _names_table(_stem(ref), u)):
                     continue
-                if c == primary.get(t) and c.lower() == ref.lower() and facts[t, c][2] > facts[u, ref][2]:
+                if same and c == primary.get(t) and facts[t, c][2] > facts[u, ref][2]:
                     continue  # the larger side is the one referred to
                 row = overlap(tables[t], c, tables[u], ref).first()
                 share = row["found"] / row["sampled"] if row["sampled"] else 0.0
                 if share >= min_overlap:
-                    rows.append((t, c, u, ref, round(share, 4), cardinality(facts[t, c], facts[u, ref])))
-    return spark.createDataFrame(sorted(set(rows)), "source_table string, source_column string, target_table string, target_column string, overlap double, cardinality string")
+                    found.append((t, c, u, ref, round(share, 4)))
+    facts |= uniqueness(tables, {t: sorted({c for x, c, *_ in found if x == t and (t, c) not in facts}) for t in tables})
+    rows = [(*f, cardinality(facts[f[0], f[1]], facts[f[2], f[3]])) for f in sorted(set(found))]
+    return spark.createDataFrame(rows, "source_table string, source_column string, target_table string, target_column string, overlap double, cardinality string")
 
 
 def cardinality(source: tuple[int, int, int], target: tuple[int, int, int]) -> str:
