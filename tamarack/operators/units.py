@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tamarack.functions.keys import is_known
 from tamarack.functions.quantities import COMMON_UNIT, column_meaning, conversion_table, unit_table
-from tamarack.session import broadcast_if_small, load, materialise
+from tamarack.session import broadcast_if_small, load, materialise, spread
 
 #: Columns that canonical_values() adds; such columns of its input are dropped.
 ADDED = frozenset(("col_name", "field", "raw", "confidence", "is_correction", "number", "unit_text", "plain", "feet", "quantity", "col_unit", "spelling", "unit", "common", "guesses", "value", "a", "b"))
@@ -120,7 +120,7 @@ def canonical_values(records: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def values_of(spark, sf_dir: str) -> DataFrame:
-    records = load(spark, sf_dir, "extracted_record").select("row_id", "source_table", "fields_json")
+    records = spread(load(spark, sf_dir, "extracted_record").select("row_id", "source_table", "fields_json"))
     return canonical_values(records, load(spark, sf_dir, "column_info"))
 
 

@@ -15,6 +15,11 @@ def optimized(df: DataFrame) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def partitions(df: DataFrame) -> int:
+    """Partitions of a scan; nothing runs."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
 def has_cross_join(df: DataFrame) -> bool:
     """A join without condition in the optimized plan; comma joins that a filter links are none."""
     return bool(re.search(r"^[\s:+-]*Join (?:Cross|Inner)\s*(?:, (?:left|right)Hint=.*)?$", optimized(df), re.M))

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.plans.inspect import partitions
+
 #: A side of at most this many narrow rows may be broadcast, after it was counted.
 BROADCAST_ROWS = 100_000
 
@@ -52,7 +54,7 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
     return F.broadcast(df) if n <= limit else df
 
 
-def spread(spark: SparkSession, df: DataFrame, *keys: str) -> DataFrame:
-    """Even out input partitions before Python or generator work; small inputs come in few files."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, spread over them; such a scan is small. Others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if partitions(df) < cores else df
