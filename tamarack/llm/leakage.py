@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.words import plain, words
-from tamarack.session import load
+from tamarack.session import load, spread
 
 WINDOW = 12
 #: Walks, samples per walk and places per sample: measured recall in the README.
@@ -260,7 +260,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def leaks_of(spark, sf_dir: str) -> DataFrame:
-    return leaked_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"))
+    return leaked_items(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), load(spark, sf_dir, "eval_item"))
 
 
 def leak_report(leaks: DataFrame) -> DataFrame:

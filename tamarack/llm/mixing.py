@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.keys import is_known
 from tamarack.llm.words import words
-from tamarack.session import load, materialise
+from tamarack.session import load, materialise, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Word buckets of the source classifier.
@@ -207,7 +207,7 @@ def share_report(drawn: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix_of(spark, sf_dir: str) -> DataFrame:
-    return draw(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))
+    return draw(spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source")), load(spark, sf_dir, "mix_target"))
 
 
 def report_of(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.session import load
+from tamarack.session import load, spread
 
 #: Words of a terminal context.
 CONTEXT_WORDS = 3
@@ -265,4 +265,4 @@ def broken_pairs(steps: DataFrame) -> DataFrame:
 
 
 def pairs_of(spark, sf_dir: str) -> DataFrame:
-    return broken_pairs(load(spark, sf_dir, "step_record"))
+    return broken_pairs(spread(load(spark, sf_dir, "step_record").select("step_id", "thought", "raw_response")))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.session import load
+from tamarack.session import load, spread
 
 CHARS_PER_TOKEN = 4
 
@@ -171,4 +171,4 @@ def split_units(units: DataFrame, limit: int = 1000, overlap: int = 50) -> DataF
 
 
 def pieces_of(spark, sf_dir: str) -> DataFrame:
-    return split_units(load(spark, sf_dir, "extraction_unit"))
+    return split_units(spread(load(spark, sf_dir, "extraction_unit").select("unit_id", "doc_path", "section_heading", "text")))

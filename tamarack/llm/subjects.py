@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.keys import is_known
 from tamarack.llm.pairs import language
 from tamarack.llm.words import plain
-from tamarack.session import BROADCAST_ROWS, load, materialise
+from tamarack.session import BROADCAST_ROWS, load, materialise, spread
 
 LANGUAGES = ("en", "de", "es", "zh")
 ROUNDS = 4
@@ -191,7 +191,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str],
 
 def shares_of(spark, sf_dir: str) -> DataFrame:
     subjects = sorted(r["s"] for r in load(spark, sf_dir, "subject_area").select(F.lower(F.trim("subject_id")).alias("s")).distinct().collect() if r["s"])
-    return subject_shares(load(spark, sf_dir, "documents"), load(spark, sf_dir, "doc_subject_label"), subjects)
+    return subject_shares(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), load(spark, sf_dir, "doc_subject_label"), subjects)
 
 
 def document_subjects(shares: DataFrame) -> DataFrame:
