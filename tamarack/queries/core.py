@@ -504,13 +504,13 @@ def _(spark, d):
 
 @query(
     "upsert_fill_nulls",
-    """WITH a AS (SELECT c_custkey AS k, nullif(c_mktsegment, 'BUILDING') AS segment, c_nationkey AS nation FROM customer WHERE c_custkey <= 1000), b AS (SELECT c_custkey AS k, lower(c_mktsegment) AS segment, c_name AS name FROM customer WHERE c_custkey > 500)
+    """WITH a AS (SELECT c_custkey AS k, nullif(c_mktsegment, 'BUILDING') AS segment, c_nationkey AS nation FROM customer WHERE c_mktsegment <> 'FURNITURE'), b AS (SELECT c_custkey AS k, lower(c_mktsegment) AS segment, c_name AS name FROM customer WHERE c_mktsegment <> 'MACHINERY')
     SELECT coalesce(a.k, b.k) AS k, coalesce(a.segment, b.segment) AS segment, nation, name FROM a FULL JOIN b ON a.k = b.k""",
 )
 def _(spark, d):
     c = load(spark, d, "customer")
-    a = c.where("c_custkey <= 1000").select(F.col("c_custkey").alias("k"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.col("c_nationkey").alias("nation"))
-    b = c.where("c_custkey > 500").select(F.col("c_custkey").alias("k"), F.lower("c_mktsegment").alias("segment"), F.col("c_name").alias("name"))
+    a = c.where("c_mktsegment <> 'FURNITURE'").select(F.col("c_custkey").alias("k"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.col("c_nationkey").alias("nation"))
+    b = c.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("k"), F.lower("c_mktsegment").alias("segment"), F.col("c_name").alias("name"))
     return merge.upsert_fill(a, b, "k")
 
 
@@ -610,9 +610,9 @@ def prose(spark, d: str) -> DataFrame:
 _PRICE = "printf('%.2f', o_totalprice)"
 
 
-@query("prose_extract_numeric", f"SELECT o_orderkey AS doc_id, CAST({_PRICE} AS DOUBLE) AS value FROM orders WHERE o_orderkey % 3 = 1")
+@query("prose_extract_numeric", f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN CAST({_PRICE} AS DOUBLE) ELSE CAST(o_orderpriority[1] AS DOUBLE) END AS value FROM orders")
 def _(spark, d):
-    return prose(spark, d).where("doc_id % 3 = 1").select("doc_id", D.numeric_after(F.col("text"), "PRICE").alias("value"))
+    return prose(spark, d).select("doc_id", D.numeric_after(F.col("text"), "PRICE").alias("value"))
 
 
 @query("prose_corrections", f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST({_PRICE} AS DOUBLE) END AS value FROM orders")
@@ -640,13 +640,14 @@ def _(spark, d):
 
 @query(
     "prose_merge_by_id",
-    f"SELECT o_custkey AS record, coalesce(arg_min(v, k) FILTER (o_orderkey % 3 = 0), arg_max(v, k)) AS value FROM (SELECT o_custkey, o_orderkey, {_PRICE} v, o_orderkey k FROM orders WHERE o_orderkey % 3 < 2) GROUP BY o_custkey",
+    f"SELECT o_custkey AS record, coalesce(arg_min(v, k) FILTER (o_orderkey % 3 = 0), arg_max(v, k)) AS value FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN {_PRICE} END v, o_orderkey k FROM orders) WHERE v IS NOT NULL GROUP BY o_custkey",
 )
 def _(spark, d):
     p = prose(spark, d).join(load(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("record")), "doc_id")
     fixed = D.corrected(F.col("text"))
-    value = F.format_string("%.2f", F.coalesce(fixed, D.numeric_after(F.col("text"), "PRICE")))
-    values = p.where("doc_id % 3 < 2").select("record", F.lit("price").alias("field"), value.alias("value"), F.lit("medium").alias("confidence"), fixed.isNotNull().alias("is_correction"), F.col("doc_id").alias("place"))
+    number = F.coalesce(fixed, D.numeric_after(F.col("text"), "PRICE"))
+    value = F.when(~D.missing_field(F.col("text"), "PRICE"), F.format_string("%.2f", number))
+    values = p.select("record", F.lit("price").alias("field"), value.alias("value"), F.lit("medium").alias("confidence"), fixed.isNotNull().alias("is_correction"), F.col("doc_id").alias("place"))
     return merge.merge_by_confidence(values).select("record", "value")
 
 
