@@ -160,9 +160,12 @@ def draw(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
     """
     wanted = {r["source"]: (r["share"], r["most"]) for r in targets.select(source_name(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(0)).alias("most")).where("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("most").alias("most")).collect()}
     sources = sorted(wanted)
+    if not sources:
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, source string, tokens bigint, copies int, target_share double, actual_share double")
     named = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    model = fit_sources(named)
-    place = F.array_position(F.array(*(F.lit(s) for s in sources)), F.col("source")).cast("int") - 1 if sources else F.lit(-1)
+    # All other sources count as one, so that the model is bounded by the targets.
+    model = fit_sources(named.withColumn("source", F.when(F.col("source").isin(*sources), F.col("source")).when(F.col("source").isNotNull(), F.lit("#"))))
+    place = F.array_position(F.array(*(F.lit(s) for s in sources)), F.col("source")).cast("int") - 1
     known = with_tokens(named.where(F.col("source").isin(*sources)), vocabulary).select("doc_id", place.alias("place"), "tokens", F.transform(F.sequence(F.lit(0), F.lit(len(sources) - 1)), lambda k: (k == place).cast("double")).alias("member"))
     guess = source_posteriors(named, model)
     columns = [model[0].index(s) + 1 if s in model[0] else 0 for s in sources]

@@ -153,10 +153,12 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str],
 
     documents: doc_id, text; labels: doc_id, subject_id as readers gave them,
     repeats and wrong ones among them; labels of unknown documents or subjects
-    are ignored. Documents that are empty, or whose passages tell no subject,
+    are ignored. Without subjects there is nothing to tell. Documents that are empty, or whose passages tell no subject,
     have no rows. Without labels there are none.
     """
     spark = documents.sparkSession
+    if not subjects:
+        return spark.createDataFrame([], "doc_id bigint, subject_id string, share double")
     numbers = vocabulary(documents)
     lang_of = np.zeros(len(numbers) + len(LANGUAGES), int)
     for (lang, _), k in numbers.items():

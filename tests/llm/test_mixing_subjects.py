@@ -50,6 +50,7 @@ def test_no_documents(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     assert mixing.draw(docs, targets).count() == 0
     assert mixing.draw(spark.createDataFrame(corpus(), DOCS), targets).count() == 0
+    assert mixing.draw(spark.createDataFrame(corpus(), DOCS), targets.limit(0)).count() == 0
 
 
 def test_reachable_total():
@@ -98,6 +99,7 @@ def test_subjects_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, subject_id string")
     assert subjects.subject_shares(d, none, ["sport"]).count() == 0
     assert subjects.subject_shares(d.limit(0), none, ["sport"]).count() == 0
+    assert subjects.subject_shares(d, none, []).count() == 0
 
 
 def test_held_out_labels(spark, sf):
