@@ -260,7 +260,9 @@ def broken_pairs(steps: DataFrame) -> DataFrame:
     judged = steps.mapInPandas(_judged, "step_id bigint, defect string, context string")
     # Contexts are counted map-side; only responses without a final mark carry one to the join.
     endings = terminal_contexts(steps.where("raw_response is not null"))
-    looked_up = judged.join(endings, "context", "left")
+    # Decided rows have no context; keys of their own keep them from meeting in one partition.
+    spread_out = judged.withColumn("context", F.coalesce("context", F.concat(F.lit("#"), F.xxhash64("step_id").cast("string"))))
+    looked_up = spread_out.join(endings, "context", "left")
     return looked_up.withColumn("defect", F.coalesce("defect", F.when(F.col("ends").isNull(), "truncated"))).where("defect is not null").select("step_id", "defect")
 
 
