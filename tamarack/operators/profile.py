@@ -52,7 +52,8 @@ def column_profile(df: DataFrame) -> DataFrame:
     # One row per column on either side.
     joined = every.join(F.broadcast(counts), "column_name", "left").join(F.broadcast(extremes), "column_name", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    ratio = lambda a, b, places: F.when(b > 0, F.round(a / b, places)).otherwise(0.0)
+    # Rounded half up from whole numbers, so that a tie does not depend on its binary form.
+    ratio = lambda a, b, places: F.when(b > 0, F.floor((a * (2 * 10**places) + b) / (2 * b)) / 10**places).otherwise(0.0)
     joined = joined.withColumns({c: zero(c) for c in ("total", "non_null", "distinct_count")})
     return joined.select(
         "column_name", "total", "non_null", "distinct_count", ratio(F.col("total") - F.col("non_null"), F.col("total"), 3).alias("null_ratio"), ratio(F.col("distinct_count"), F.col("total"), 4).alias("cardinality_ratio"), "min_value", "max_value", "avg_value"

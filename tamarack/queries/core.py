@@ -49,7 +49,7 @@ def _profile_sql(table: str) -> str:
     for c in (_NUMERIC[table] + " " + _OTHER[table]).split():
         numeric = c in _NUMERIC[table].split()
         stats = f"CAST(min({c}) AS DOUBLE), CAST(max({c}) AS DOUBLE), round(avg({c}), 2)" if numeric else "NULL, NULL, NULL"
-        parts.append(f"SELECT '{c}', count(*), count({c}), count(DISTINCT {c}), round((count(*) - count({c})) / greatest(count(*), 1), 3), round(count(DISTINCT {c}) / greatest(count(*), 1), 4), {stats} FROM {table}")
+        parts.append(f"SELECT '{c}', count(*), count({c}), count(DISTINCT {c}), (((count(*) - count({c})) * 2000 + count(*)) // greatest(2 * count(*), 1)) / 1000.0, ((count(DISTINCT {c}) * 20000 + count(*)) // greatest(2 * count(*), 1)) / 10000.0, {stats} FROM {table}")
     return f"SELECT * FROM ({' UNION ALL '.join(parts)}) t(column_name, total, non_null, distinct_count, null_ratio, cardinality_ratio, min_value, max_value, avg_value)"
 
 
