@@ -69,12 +69,19 @@ def uniqueness(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> d
 
 
 def overlap(source: DataFrame, key: str, target: DataFrame, ref: str, sample: int = SAMPLE_KEYS) -> DataFrame:
-    """sampled, found: of the smallest distinct keys, how many the other column has. The sample is what the probe asks for."""
+    """sampled, found: of the smallest distinct keys, how many the other column has. The sample is what the probe asks for; foreign keys are decided by coverage()."""
     keys = source.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(key).alias("o")).distinct().orderBy("o").limit(sample).select("k")
     refs = target.select(F.col(ref).cast("string").alias("k")).join(F.broadcast(keys), "k", "left_semi").distinct().withColumn("hit", F.lit(1))
     return keys.join(refs, "k", "left").agg(F.count("*").alias("sampled"), F.count("hit").alias("found"))
 
 
+def coverage(source: DataFrame, key: str, target: DataFrame, ref: str) -> DataFrame:
+    """keys, found: of all distinct keys, how many the other column has."""
+    keys = source.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k")).distinct()
+    refs = target.select(F.col(ref).cast("string").alias("k")).distinct().withColumn("hit", F.lit(1))
+    return keys.join(refs, "k", "left").agg(F.count("*").alias("keys"), F.count("hit").alias("found"))
+
+
 def _joinable(name: str) -> bool:
     bare = re.sub(r"^[a-z]{1,2}_(?=[a-z])", "", name.lower())
     return bool(re.search(r"(?:id|key|no|num|code)$", bare)) or bare.startswith(("link_to_", "fk_"))
@@ -98,7 +105,7 @@ def foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], min_overlap:
 
     A column named after another table (prefix, suffix and shortening aside)
     is tried against that table's own unique key; the referenced side must be
-    unique to nine tenths, the sampled keys must be there. A named candidate
+    unique to nine tenths, and of all distinct keys min_overlap must be there. A named candidate
     excludes unnamed ones, which are not tried at all: columns of small
     integers overlap without meaning anything.
     """
@@ -116,8 +123,8 @@ def foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], min_overlap:
                     continue
                 if same and c == primary.get(t) and facts[t, c][2] > facts[u, ref][2]:
                     continue  # the larger side is the one referred to
-                row = overlap(tables[t], c, tables[u], ref).first()
-                share = row["found"] / row["sampled"] if row["sampled"] else 0.0
+                row = coverage(tables[t], c, tables[u], ref).first()
+                share = row["found"] / row["keys"] if row["keys"] else 0.0
                 if share >= min_overlap:
                     found.append((t, c, u, ref, round(share, 4)))
     facts |= uniqueness(tables, {t: sorted({c for x, c, *_ in found if x == t and (t, c) not in facts}) for t in tables})

@@ -49,6 +49,14 @@ def test_foreign_keys_find_short_names(spark):
     assert graph.name_similarity("o_custkey", "bigint", "c_custkey", "bigint") >= 1.0
 
 
+def test_foreign_keys_are_decided_on_all_keys(spark):
+    customer = spark.range(1000).select(F.col("id").alias("c_custkey"))
+    orders = lambda first, last: {"customer": customer, "orders": spark.range(first, last).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"))}
+    assert graph.foreign_keys(spark, orders(0, 5000)).count() == 0  # the smallest keys are all there, four fifths are not
+    edge = graph.foreign_keys(spark, orders(-60, 1000)).first()  # the smallest are all missing, 94 % are there
+    assert (edge["source_column"], edge["target_table"], edge["overlap"]) == ("o_custkey", "customer", round(1000 / 1060, 4))
+
+
 def test_paths():
     edges = [planner.Edge("a", "b_id", "b", "id"), planner.Edge("b", "c_id", "c", "id"), planner.Edge("a", "c_ref", "c", "id", 0.2)]
     assert [e.target for e in planner.shortest_path(edges, "a", "c")] == ["b", "c"]  # the direct edge is too light
