@@ -1,6 +1,6 @@
 """Subject areas of documents, by labels propagated over the graph of documents that share passages.
 
-A passage is a sentence reduced to the terms that documents share; two documents
+A passage is a sentence reduced to the terms that two documents or more share; two documents
 are linked by every passage and, through it, every term they have in common,
 and the link is verified: it is equality, not likeness. The graph stays in its factored form,
 document - passage - term, so no pair of documents is ever written. A round of
@@ -13,10 +13,11 @@ with its share of the text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +25,10 @@ from pyspark.sql import functions as F
 from tamarack.functions.keys import is_known
 from tamarack.llm.pairs import language
 from tamarack.llm.words import plain
-from tamarack.session import BROADCAST_ROWS, load, materialise, spread
+from tamarack.session import broadcast_if_small, load, materialise, spread
 
 LANGUAGES = ("en", "de", "es", "zh")
 ROUNDS = 4
-#: A term links documents when at least this share of its language's documents have it. Documents of n
-#: distinct terms on average leave n / LEAST_SHARE terms at most, whatever the corpus.
-LEAST_SHARE = 0.002
 #: A subject counts from this share of a document's text on.
 SUBJECT_SHARE = 0.25
 #: A seed's subject is trusted when the graph finds at least this share of it.
@@ -63,89 +61,81 @@ def passages(text: str | None) -> tuple[int, list[tuple[frozenset[str], int]]]:
     return lang, out
 
 
-def term_counts(documents: DataFrame) -> DataFrame:
-    """lang, term, docs: in how many documents of a language each term occurs; the empty term counts the documents."""
+def sentences(documents: DataFrame) -> DataFrame:
+    """What one pass over the texts finds, as rows of three kinds.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            seen: dict[tuple[int, str], int] = {}
-            for text in pdf["text"]:
-                lang, parts = passages(text)
-                for term in frozenset().union(*(t for t, _ in parts)) | {""}:
-                    seen[lang, term] = seen.get((lang, term), 0) + 1
-            yield pd.DataFrame([(lang, term, n) for (lang, term), n in seen.items()], columns=["lang", "term", "docs"])
-
-    return documents.select("text").mapInPandas(count, "lang int, term string, docs bigint").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
-
-
-def vocabulary(documents: DataFrame) -> dict[tuple[int, str], int]:
-    """Numbers of the linking terms, after those of the languages. The least share bounds them, so they fit on the driver."""
-    counts = materialise(term_counts(documents))
-    totals = {r["lang"]: r["docs"] for r in counts.where("term = ''").collect()}
-    limits = documents.sparkSession.createDataFrame([(lang, float(max(2, LEAST_SHARE * n))) for lang, n in totals.items()] or [(0, 0.0)], "lang int, least double")
-    kept = counts.where("term <> ''").join(F.broadcast(limits), "lang").where("docs >= least").select("lang", "term").collect()
-    return {key: k for k, key in enumerate(sorted((r["lang"], r["term"]) for r in kept), len(LANGUAGES))}
-
-
-def passage_graph(documents: DataFrame, numbers: dict[tuple[int, str], int]) -> DataFrame:
-    """doc_id, passage, share, terms: a document's passages with their share of its text; terms only where a task first meets a passage.
-
-    Each document also has its language as a passage of share 0.
+    doc_id, lang: every document. doc_id, sentence, share, lang, terms: its
+    sentences with their share of its text; terms only where a task first meets
+    a sentence. term, docs: a term and how many documents of a batch have it.
+    A term's number is a hash of its language and itself, so none is given out.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(numbers)
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        numbers: dict[tuple[int, str], int] = {}
+        for batch in batches:
+            rows, seen = [], Counter()
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 lang, parts = passages(text)
                 total = sum(n for _, n in parts) or 1
-                shares: dict[tuple[int, ...], float] = {(lang,): 0.0}
+                rows.append((doc, lang, None, None, None, None, None))
+                shares: dict[tuple[int, ...], float] = {}
                 for terms, n in parts:
-                    key = tuple(sorted(k for t in terms if (k := shared.value.get((lang, t))) is not None))
+                    for t in terms:
+                        if (lang, t) not in numbers:
+                            numbers[lang, t] = xxhash.xxh3_64_intdigest(f"{lang} {t}") - 2**63
+                    key = tuple(sorted(numbers[lang, t] for t in terms))
                     shares[key] = shares.get(key, 0.0) + n / total
                 for key, share in shares.items():
                     if key:
-                        h = xxhash.xxh3_64_intdigest(np.array(key, np.int32).tobytes()) - 2**63
-                        rows.append((doc, h, share, None if h in known else list(key)))
+                        h = xxhash.xxh3_64_intdigest(np.array(key, np.int64).tobytes()) - 2**63
+                        rows.append((doc, lang, h, share, None if h in known else key, None, None))
                         known.add(h)
+                seen.update({k for key in shares for k in key})
                 if len(known) > 500_000:
                     known.clear()  # met again, its terms are only written again
-            yield pd.DataFrame(rows, columns=["doc_id", "passage", "share", "terms"])
-
-    return documents.select("doc_id", "text").mapInPandas(link, "doc_id bigint, passage bigint, share double, terms array<int>")
-
-
-def _term_votes(votes: DataFrame, terms: DataFrame, subjects: list[str]) -> tuple[list[int], np.ndarray]:
-    """The terms that votes (passage, subject, weight) reach, and the weight of each subject in each; bounded by the vocabulary."""
-    counted = terms.join(votes, "passage").groupBy("term", "subject").agg(F.sum("weight").alias("weight")).toPandas()
+                if len(numbers) > 500_000:
+                    numbers.clear()
+            rows += [(None, None, None, None, None, k, n) for k, n in seen.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
+
+    names = ["doc_id", "lang", "sentence", "share", "terms", "term", "docs"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(read, "doc_id bigint, lang int, sentence bigint, share double, terms array<bigint>, term bigint, docs bigint")
+
+
+def passage_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, lang), (doc_id, passage, share) and (passage, lang, term): documents, their passages with their share of the text, and every term of a passage that two documents share."""
+    read = materialise(sentences(documents))
+    linking = broadcast_if_small(materialise(read.where("term is not null").groupBy("term").agg(F.sum("docs").alias("docs")).where("docs > 1").select("term")))
+    spelled = read.where("terms is not null").groupBy("sentence").agg(F.first("lang").alias("lang"), F.first("terms").alias("terms"))
+    reduced = spelled.select("sentence", "lang", F.explode("terms").alias("term")).join(linking, "term").groupBy("sentence", "lang").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    reduced = materialise(reduced.withColumn("passage", F.xxhash64("terms")))
+    edges = materialise(read.where("sentence is not null").select("doc_id", "sentence", "share").join(reduced.select("sentence", "passage"), "sentence").groupBy("doc_id", "passage").agg(F.sum("share").alias("share")))
+    terms = materialise(reduced.groupBy("passage").agg(F.first("lang").alias("lang"), F.first("terms").alias("terms")).select("passage", "lang", F.explode("terms").alias("term")))
+    return read.where("doc_id is not null and sentence is null").select("doc_id", "lang"), edges, terms
+
+
+def _priors(spoken: DataFrame, beliefs: DataFrame, subjects: list[str]) -> DataFrame:
+    """lang, prior: the share of each subject in the beliefs of a language's documents; a row for each language."""
+    base = np.full((len(LANGUAGES), len(subjects)), 1.0)
     column = {s: k for k, s in enumerate(subjects)}
-    counted = counted[counted["subject"].isin(column)]
-    index = {t: k for k, t in enumerate(sorted(set(counted["term"])))}
-    c = np.zeros((len(index), len(subjects)))
-    np.add.at(c, (counted["term"].map(index).to_numpy(int), counted["subject"].map(column).to_numpy(int)), counted["weight"].to_numpy())
-    return list(index), c
-
-
-def _scores(names: list[int], c: np.ndarray, lang_of: np.ndarray) -> pd.DataFrame:
-    """Per informative term its lift of each subject over the subject's share in the term's language."""
-    count = c.shape[1]
-    base = np.full((len(LANGUAGES), count), 1.0)
-    for k, t in enumerate(names):
-        if t < len(LANGUAGES):
-            base[t] += c[k]
+    for r in spoken.join(beliefs, "doc_id").groupBy("lang", "subject").agg(F.sum("weight").alias("weight")).collect():
+        base[r["lang"], column[r["subject"]]] += r["weight"]
     base /= base.sum(1, keepdims=True)
-    keep = [k for k, t in enumerate(names) if t >= len(LANGUAGES)]
-    if not keep:
-        return pd.DataFrame({"term": pd.Series(dtype="int32"), "lift": pd.Series(dtype=object)})
-    own, prior = c[keep], base[lang_of[[names[k] for k in keep]]]
-    p = (own + SMOOTHING * prior) / (own.sum(1, keepdims=True) + SMOOTHING)
-    lift = np.log(p / prior)
+    return spoken.sparkSession.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(base)], "lang int, prior array<double>")
+
+
+def _scores(votes: DataFrame, terms: DataFrame, priors: DataFrame, subjects: list[str]) -> DataFrame:
+    """term, lift: per informative term that votes (passage, subject, weight) reach its lift of each subject over the subject's share in the term's language."""
+    own = F.array(*(F.sum(F.when(F.col("subject") == s, F.col("weight")).otherwise(0.0)) for s in subjects))
+    counted = terms.join(votes, "passage").groupBy("term", "lang").agg(own.alias("own"), F.sum("weight").alias("all")).join(F.broadcast(priors), "lang")
+    p = counted.withColumn("p", F.zip_with("own", "prior", lambda o, b: (o + SMOOTHING * b) / (F.col("all") + SMOOTHING)))
+    lifted = p.withColumn("lift", F.zip_with("p", "prior", lambda x, b: F.log(x / b)))
     # A frequent subject leaves less to be told: the bound is at most INFORMED of what its terms could tell.
-    top = prior[np.arange(len(keep)), lift.argmax(1)]
-    told = (p * lift).sum(1) > np.minimum(INFORMATION, -INFORMED * np.log(top))
-    return pd.DataFrame({"term": [names[keep[k]] for k in np.flatnonzero(told)], "lift": list(lift[told])})
+    top = F.element_at("prior", F.array_position("lift", F.array_max("lift")).cast("int"))
+    told = F.aggregate(F.zip_with("p", "lift", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return lifted.where(told > F.least(F.lit(INFORMATION), -INFORMED * F.log(top))).select("term", "lift")
 
 
 def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> DataFrame:
@@ -159,13 +149,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str],
     spark = documents.sparkSession
     if not subjects:
         return spark.createDataFrame([], "doc_id bigint, subject_id string, share double")
-    numbers = vocabulary(documents)
-    lang_of = np.zeros(len(numbers) + len(LANGUAGES), int)
-    for (lang, _), k in numbers.items():
-        lang_of[k] = lang
-    graph = materialise(passage_graph(documents, numbers))
-    edges = graph.select("doc_id", "passage", "share")
-    terms = materialise(graph.where("terms is not null").groupBy("passage").agg(F.first("terms").alias("terms")).select("passage", F.explode("terms").alias("term")))
+    spoken, edges, terms = passage_graph(documents)
     seeds = materialise(labels.where(is_known(F.col("subject_id"))).select("doc_id", F.lower(F.trim("subject_id")).alias("subject")).where(F.col("subject").isin(*subjects)).distinct())
     seeded = seeds.select("doc_id").distinct()
     count = len(subjects)
@@ -173,10 +157,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str],
     beliefs = seeds.join(seeds.groupBy("doc_id").agg((1 / F.count("*")).alias("weight")), "doc_id")
     for n in range(rounds):
         votes = edges.join(beliefs, "doc_id").groupBy("passage", "subject").agg(F.sum("weight").alias("weight"))
-        names, c = _term_votes(votes, terms, subjects)
-        table = _scores(names, c, lang_of)
-        scores = spark.createDataFrame([(int(t), [float(x) for x in v]) for t, v in zip(table["term"], table["lift"], strict=True)], "term int, lift array<double>")
-        scores = F.broadcast(scores) if len(table) <= BROADCAST_ROWS else scores
+        scores = broadcast_if_small(materialise(_scores(votes, terms, _priors(spoken, beliefs, subjects), subjects)))
         summed = terms.join(scores, "term").groupBy("passage").agg(*(F.sum(F.col("lift")[k]).alias(f"s{k}") for k in range(count)))
         ranked = F.sort_array(F.array(*(F.struct(F.col(f"s{k}").alias("score"), F.lit(s).alias("subject")) for k, s in enumerate(subjects))), asc=False)
         told = summed.select("passage", ranked.alias("r")).where((F.col("r")[0]["score"] > LEAST_SCORE) & (F.col("r")[0]["score"] - F.coalesce(F.try_element_at("r", F.lit(2))["score"], F.lit(-1e9)) > LEAST_LEAD))

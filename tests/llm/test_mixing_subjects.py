@@ -94,6 +94,15 @@ def test_subjects_from_few_seeds(spark):
     assert {r["subject_id"] for r in total} == set(names) and sum(r["share"] for r in total) <= 1.000001
 
 
+def test_subject_of_few_documents(spark):
+    """A subject with less than 0.2 % of a language's documents is told by the terms that its few documents share."""
+    rng = random.Random(5)
+    docs = [(i, text(rng, "law" if i % 2 else "sport", 2)) for i in range(2500)] + [(9000 + i, text(rng, "food", 6)) for i in range(4)]
+    labels = [(i, "law" if i % 2 else "sport") for i in range(0, 2500, 9)] + [(9000, "food"), (9001, "food")]
+    shares = subjects.subject_shares(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject_id string"), list(AREAS))
+    assert {r["doc_id"] for r in subjects.document_subjects(shares).where("subject_id = 'food'").collect()} == {9000, 9001, 9002, 9003}
+
+
 def test_subjects_without_labels_or_documents(spark):
     d = spark.createDataFrame([(1, "the race was won.")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, subject_id string")
