@@ -200,6 +200,11 @@ def _(spark, d):
     return whole.agg(F.count("*").alias("replies"))
 
 
+@query("json_replies")
+def _(spark, d):
+    return load(spark, d, "step_record").select("step_id", repaired(F.col("raw_response")).alias("reply"))
+
+
 @query("doc_chunks")
 def _(spark, d):
     return D.chunks(load(spark, d, "documents").where("text is not null"), 4000, 15)

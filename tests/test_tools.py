@@ -1,8 +1,12 @@
+import itertools
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tamarack.functions.json_repair import repair_json, repaired
 from tamarack.operators import documents, lookup, memory
+from tamarack.queries import tools
 
 
 def test_json_repair(spark):
@@ -20,6 +24,28 @@ def test_json_repair(spark):
     assert [r[0] for r in df.select(repaired(F.col("t"))).collect()] == list(cases.values())
 
 
+def longest_json(reply):
+    """Brute force: the longest beginning of what follows the first bracket that some closers make whole."""
+    starts = [k for k in (reply.find("{"), reply.find("[")) if k >= 0]
+    text = reply[min(starts) :] if starts else ""
+    closers = ["".join(c) for n in range(5) for c in itertools.product('"]}', repeat=n)]
+    for n, c in itertools.product(range(len(text), 0, -1), closers):
+        try:
+            return json.dumps(json.loads(text[:n] + c), ensure_ascii=False, sort_keys=True)
+        except ValueError:
+            continue
+    return None
+
+
+def test_every_reply_is_repaired(spark, tmp_path):
+    whole = '{"action": "run", "action_input": {"sql": "SELECT 1", "rows": [1, {"k": "{"}]}}'
+    replies = [whole, f"```json\n{whole}\n```", f"Done:\n{whole} That is all.", whole[:-1], whole[:-3], whole[:48], "no json", "", None]
+    spark.createDataFrame(list(enumerate(replies)), "step_id long, raw_response string").coalesce(1).write.parquet(str(tmp_path / "step_record.parquet"))
+    got = {r["step_id"]: r["reply"] for r in tools.QUERIES["json_replies"](spark, str(tmp_path)).collect()}
+    assert got == {i: longest_json(r or "") for i, r in enumerate(replies)}
+    assert got[1] == got[2] == got[3] == json.dumps(json.loads(whole), sort_keys=True) and got[5] and got[7] is None
+
+
 def test_lookup(spark):
     assert lookup.term_matches("customer_name", ["customers"]) and not lookup.term_matches("price", ["weight"])
     assert lookup.token_overlap("a b c", "b c") == 1.0 and lookup.token_overlap("", "x") == 0.0
