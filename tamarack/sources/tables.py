@@ -18,9 +18,9 @@ def table_name(stem: str) -> str:
     return f"t_{name}" if name[:1].isdigit() else name
 
 
-def infer_types(df: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, str]:
-    """bigint, double or string for each text column by the first rows; blanks say nothing, a column of blanks is text."""
-    sample = df.limit(rows)
+def infer_types(df: DataFrame, rows: int | None = SAMPLE_ROWS) -> dict[str, str]:
+    """bigint, double or string for each text column by the first rows, or by all (None); blanks say nothing, a column of blanks is text."""
+    sample = df if rows is None else df.limit(rows)
     checks: list[Column] = []
     for i, c in enumerate(df.columns):
         t = F.trim(F.col(f"`{c}`"))
@@ -46,11 +46,11 @@ def cast_columns(df: DataFrame, types: dict[str, str], keep_raw: bool = False) -
 
 
 def read_csv(spark: SparkSession, path: str, keep_raw: bool = False) -> DataFrame:
-    """A CSV file with header; short rows are filled with blanks, cells beyond the header dropped."""
+    """A CSV file with header; short rows are filled with blanks, cells beyond the header dropped. Types come from all rows, so no cell is lost to one."""
     raw = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
     raw = raw.toDF(*(c.strip() for c in raw.columns))
     raw = raw.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns))
-    return cast_columns(raw, infer_types(raw), keep_raw)
+    return cast_columns(raw, infer_types(raw, None), keep_raw)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -39,6 +39,13 @@ def test_consolidate(spark, folder):
     assert "people(id bigint" in inventory.schema_text(found)
 
 
+def test_csv_keeps_late_text(spark, tmp_path):
+    (tmp_path / "late.csv").write_text("n,code,size\n" + "".join(f"{i},{i},{i}\n" for i in range(60)) + "60,A7,1.5\n61,,\n")
+    late = inventory.consolidate(spark, str(tmp_path))["late"]
+    assert [f.dataType.simpleString() for f in late.schema] == ["bigint", "string", "double"]
+    assert [tuple(r) for r in late.where("n in (7, 60, 61)").orderBy("n").collect()] == [(7, "7", 7.0), (60, "A7", 1.5), (61, "", None)]
+
+
 def test_inventory(spark, folder):
     scan = inventory.scan(spark, str(folder))
     assert inventory.task_type(scan) == "mixed"
