@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.operators.profile import is_text
+from tamarack.session import broadcast_if_small, spread
+
+#: The shortest value that is looked for in documents.
+LEAST_CHARS = 5
 
 
 def term_matches(column: str, terms: list[str]) -> bool:
@@ -111,17 +115,31 @@ def ambiguous_joins(edges: DataFrame) -> DataFrame:
 
 
 def mentioned_values(result: DataFrame, column: str, docs: DataFrame, most: int = 500) -> DataFrame:
-    """value, documents: result values of 5 to 50 characters that documents mention; a result has few rows, its values go to the documents.
+    """value, documents: result values of 5 to 50 characters that documents mention, case aside; numbers are no values.
 
-    The result is bounded by the answer cap of most rows; beyond it nothing is looked for.
+    Up to most values go to the documents as literals; more are joined. docs: doc_id, text.
     """
-    values = [r[0] for r in result.select(F.col(column).cast("string")).distinct().limit(most + 1).collect() if r[0] and 5 <= len(r[0]) <= 50 and not re.fullmatch(r"[-\d.,\s]+", r[0])]
-    if not values or len(values) > most:
+    c = F.col(column).cast("string")
+    values = result.select(c.alias("value")).where(F.length("value").between(LEAST_CHARS, 50) & ~F.rlike("value", F.lit(r"(?U)\A[-\d.,\s]+\z"))).distinct()
+    few = [r[0] for r in values.limit(most + 1).collect()]
+    if not few:
         return docs.sparkSession.createDataFrame([], "value string, documents bigint")
-    hits = F.filter(F.array(*(F.when(F.contains(F.lower("text"), F.lit(v.lower())), F.lit(v)) for v in sorted(values))), lambda x: x.isNotNull())
+    if len(few) > most:
+        return _joined_mentions(values, docs)
+    hits = F.filter(F.array(*(F.when(F.contains(F.lower("text"), F.lit(v.lower())), F.lit(v)) for v in sorted(few))), lambda x: x.isNotNull())
     return docs.where("text is not null").select(F.explode(hits).alias("value")).groupBy("value").agg(F.count("*").alias("documents"))
 
 
+def _joined_mentions(values: DataFrame, docs: DataFrame) -> DataFrame:
+    """mentioned_values() of any number of values: each is joined by its first characters to the places of the texts that begin with them, and compared there."""
+    lowered = values.select("value", F.lower("value").alias("low"))
+    reach = lowered.agg(F.max(F.length("low"))).first()[0]
+    keyed = broadcast_if_small(lowered.withColumn("start", F.substring("low", 1, LEAST_CHARS)))
+    places = spread(docs.where("text is not null").select("doc_id", "text")).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"(?s)(?=(.{{{LEAST_CHARS},{reach}}}))"), 1)).alias("place"))
+    found = places.withColumn("start", F.substring("place", 1, LEAST_CHARS)).join(keyed, "start").where(F.startswith("place", "low"))
+    return found.select("value", "doc_id").distinct().groupBy("value").agg(F.count("*").alias("documents"))
+
+
 def paragraphs_for(docs: DataFrame, question: str, best: int = 5) -> DataFrame:
     """doc_id, place, hits of the paragraphs that hold most words of a question; ties by document and place."""
     words = sorted({w for w in re.findall(r"\w{3,}", question.lower())})

@@ -95,6 +95,11 @@ def _(spark, d):
     return lookup.mentioned_values(values, "v", load(spark, d, "documents"))
 
 
+@query("doc_mentions_ids", r"SELECT v AS value, count(*) AS documents FROM (SELECT DISTINCT source_id AS v FROM relationships WHERE length(source_id) BETWEEN 5 AND 50 AND NOT regexp_full_match(source_id, '[-\d.,\s]+')) JOIN documents ON contains(lower(text), lower(v)) GROUP BY 1")
+def _(spark, d):
+    return lookup.mentioned_values(load(spark, d, "relationships"), "source_id", load(spark, d, "documents"))
+
+
 @query("knowledge_paragraphs")
 def _(spark, d):
     return lookup.paragraphs_for(load(spark, d, "documents").where("text is not null"), "thrombosis of the patient and the antibody titre")

@@ -62,6 +62,18 @@ def test_lookup(spark):
     assert lookup.semantic_type("o_custkey", "bigint", 0.1) == "measure" and lookup.semantic_type("note", "string", 0.95) == "free_text"
 
 
+def test_many_values_are_all_looked_for(spark):
+    names = [f"Name {i:04d}" for i in range(900)] + [f"{i}" for i in range(10**5, 10**5 + 700)] + ["abc", None, "x" * 51, "ÄRGER (a)", "name 0007"]
+    texts = [f"of nAme {i * 3:04d} and name {i:04d}, NAME {i:04d}; ärger (a)" for i in range(400)] + [None, "", "100001", "Name"]
+    result = spark.createDataFrame([(n,) for n in names * 2], "v string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {n: k for n in names[:900] + names[-2:] if (k := sum(n.lower() in (t or "").lower() for t in texts))}
+    assert len(want) > 500
+    assert {r["value"]: r["documents"] for r in lookup.mentioned_values(result, "v", docs).collect()} == want
+    few = result.where("v like 'Name 00%' or v like '10%'")  # 700 numbers are no values, so 100 are left
+    assert {r["value"]: r["documents"] for r in lookup.mentioned_values(few, "v", docs).collect()} == {n: k for n, k in want.items() if n.startswith("Name 00")}
+
+
 def test_memory(spark):
     facts = spark.createDataFrame([("n", "s", "old", 1), ("n", "s", "old", 2), ("n", "s", "new", 3)], "node string, subject string, fact string, at int")
     assert {r["fact"]: (r["confidence"], r["superseded"]) for r in memory.upsert_facts(facts).collect()} == {"old": (2, True), "new": (1, False)}
