@@ -4,8 +4,9 @@ The values a group holds for one quantity are aligned token by token; each
 column of the alignment is decided by weighted votes, and the existing value
 closest to the consensus survives. Weights fall by half with each place in the
 order of preference, so a better value always outweighs all worse ones
-together; places beyond DEPTH can therefore not change a column, and a group of
-any size is first cut, map-side, to its DEPTH best values.
+together: the first place wins every column, and the order decides alone. With
+these weights no later place changes a column, so a group of any size may first
+be cut, map-side, to its DEPTH best values.
 """
 
 from __future__ import annotations
