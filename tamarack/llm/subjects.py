@@ -5,9 +5,9 @@ are linked by every passage and, through it, every term they have in common,
 and the link is verified: it is equality, not likeness. The graph stays in its factored form,
 document - passage - term, so no pair of documents is ever written. A round of
 propagation joins labels to passages, passages to terms, and the terms' verdicts
-back to passages and documents. Seeds are clamped to the subjects readers gave
-them, as far as the graph bears them out; documents keep several subjects, each
-with its share of the text.
+back to passages and documents. Seeds vote for the subjects readers gave them,
+from the second round on as far as the graph bears them out, and are not clamped
+in the output; documents keep several subjects, each with its share of the text.
 """
 
 from __future__ import annotations
