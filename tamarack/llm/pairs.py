@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.session import load, spread
+from tamarack.session import broadcast_if_small, load, materialise, spread
 
 #: Words of a terminal context.
 CONTEXT_WORDS = 3
@@ -248,6 +248,19 @@ def terminal_contexts(steps: DataFrame) -> DataFrame:
     return seen.where("context <> ''").groupBy("context").agg(F.count("*").alias("ends"))
 
 
+def inner_contexts(steps: DataFrame, asked: DataFrame) -> DataFrame:
+    """context, inside: how often each asked context stands inside a sentence of the responses, with more of the sentence after it."""
+    text = F.regexp_replace("raw_response", r"\\n", " ")
+    pieces = steps.select(F.explode(F.split(text, r"[.!?](?=[\"'”’»)\]\s]|$)|[。！？]")).alias("s"))
+    tail = F.regexp_replace(F.lower(F.regexp_replace("s", r"[\"'”’»)\]\s]+$", "")), r"\d+", "0")
+    words = F.split(F.trim(tail), r"\s+")
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - CONTEXT_WORDS), lambda k: F.array_join(F.slice("w", k, CONTEXT_WORDS), " "))
+    spoken = pieces.select(words.alias("w")).where(F.size("w") > CONTEXT_WORDS).select(F.explode(runs).alias("context"))
+    han = pieces.select(F.explode(F.regexp_extract_all(tail, F.lit(r"(?s)(?=(.{3}[\x{4e00}-\x{9fff}]).)"), 1)).alias("context"))
+    seen = spoken.unionByName(han).select(F.regexp_replace("context", r"[\"'”’»)\]\s]+$", "").alias("context"))
+    return seen.join(broadcast_if_small(asked), "context", "left_semi").groupBy("context").agg(F.count("*").alias("inside"))
+
+
 def broken_pairs(steps: DataFrame) -> DataFrame:
     """step_id and defect (empty, truncated, refusal, copy, other_language) of every defective pair.
 
@@ -257,13 +270,17 @@ def broken_pairs(steps: DataFrame) -> DataFrame:
     language, truncated. Repeated steps are judged each.
     """
     steps = steps.select("step_id", "thought", "raw_response")
-    judged = steps.mapInPandas(_judged, "step_id bigint, defect string, context string")
+    judged = materialise(steps.mapInPandas(_judged, "step_id bigint, defect string, context string"))
     # Contexts are counted map-side; only responses without a final mark carry one to the join.
-    endings = terminal_contexts(steps.where("raw_response is not null"))
+    answered = steps.where("raw_response is not null")
+    endings = terminal_contexts(answered)
+    inner = inner_contexts(answered, judged.where("context is not null").select("context").distinct())
     # Decided rows have no context; keys of their own keep them from meeting in one partition.
     spread_out = judged.withColumn("context", F.coalesce("context", F.concat(F.lit("#"), F.xxhash64("step_id").cast("string"))))
-    looked_up = spread_out.join(endings, "context", "left")
-    return looked_up.withColumn("defect", F.coalesce("defect", F.when(F.col("ends").isNull(), "truncated"))).where("defect is not null").select("step_id", "defect")
+    looked_up = spread_out.join(endings, "context", "left").join(inner, "context", "left")
+    # Of two counts that grow alike, the larger tells what the context mostly does, whatever the number of rows.
+    cut = F.coalesce("ends", F.lit(0)) <= F.coalesce("inside", F.lit(0))
+    return looked_up.withColumn("defect", F.coalesce("defect", F.when(cut, "truncated"))).where("defect is not null").select("step_id", "defect")
 
 
 def pairs_of(spark, sf_dir: str) -> DataFrame:

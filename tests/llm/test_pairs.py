@@ -42,6 +42,17 @@ def test_nulls_repeats_and_empty(spark):
     assert pairs.broken_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_verdict_does_not_depend_on_the_number_of_rows(spark, times):
+    """A context that stands inside sentences five times as often as at an end is no end, and the other way round."""
+    inside, end = "The filter keeps the key in {} of both tables.", "All of {} have the key in {}."
+    said = [inside.format("score")] * 5 + [end.format("them", "score")] + [end.format("them", "place")] * 5 + [inside.format("place")] + ["有五行没有测量值的记录。"] * 5 + ["这里没有测量值。"]
+    cut = ["The filter keeps the key in score", "All of them have the key in place", "有五行没有测量值"]
+    rows = [(i, "", r) for i, r in enumerate(said * times + cut)]
+    got = {r["step_id"] - len(said) * times: r["defect"] for r in pairs.broken_pairs(spark.createDataFrame(rows, "step_id long, thought string, raw_response string")).collect()}
+    assert got == {0: "truncated", 2: "truncated"}
+
+
 def test_long_response(spark):
     long = "The filter keeps the key in score. " * 20_000
     df = spark.createDataFrame([(1, ASK, long), (2, ASK, long + "and the")], "step_id long, thought string, raw_response string")
