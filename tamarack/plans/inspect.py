@@ -20,6 +20,11 @@ def partitions(df: DataFrame) -> int:
     return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a scan's size, from its files; nothing runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def has_cross_join(df: DataFrame) -> bool:
     """A join without condition in the optimized plan; comma joins that a filter links are none."""
     return bool(re.search(r"^[\s:+-]*Join (?:Cross|Inner)\s*(?:, (?:left|right)Hint=.*)?$", optimized(df), re.M))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.plans.inspect import partitions
+from tamarack.plans.inspect import partitions, size_in_bytes
 
 #: A side of at most this many narrow rows may be broadcast, after it was counted.
 BROADCAST_ROWS = 100_000
+#: Scans up to this size may be shuffled to use all cores; larger ones have partitions of their own.
+SPREAD_BYTES = 1 << 30
 
 
 def build_session(app: str = "tamarack", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -21,6 +24,7 @@ def build_session(app: str = "tamarack", master: str | None = None, shuffle_part
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
@@ -35,10 +39,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where it is unset (tests) set one."""
+    """Use the folder the cluster names in spark.checkpoint.dir; only a local master without one gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(?:\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tamarack-checkpoint-"))
 
 
@@ -55,6 +61,6 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than there are cores, spread over them; such a scan is small. Others stay as they are."""
+    """A scan of at most SPREAD_BYTES and of fewer partitions than there are cores, spread over them. Others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if partitions(df) < cores else df
+    return df.repartition(cores) if partitions(df) < cores and size_in_bytes(df) <= SPREAD_BYTES else df
