@@ -16,7 +16,7 @@ from tamarack.functions.quantities import COMMON_UNIT, column_meaning, conversio
 from tamarack.session import broadcast_if_small, load, materialise, spread
 
 #: Columns that canonical_values() adds; such columns of its input are dropped.
-ADDED = frozenset(("col_name", "field", "raw", "confidence", "is_correction", "number", "unit_text", "plain", "feet", "quantity", "col_unit", "spelling", "unit", "common", "guesses", "value", "a", "b"))
+ADDED = frozenset(("col_name", "field", "raw", "confidence", "is_correction", "number", "unit_text", "plain", "feet", "reading", "quantity", "col_unit", "spelling", "unit", "common", "guesses", "value", "a", "b"))
 
 #: The values of one record, by column name.
 FIELDS = T.MapType(T.StringType(), T.StructType([T.StructField("value", T.StringType()), T.StructField("confidence", T.StringType()), T.StructField("is_correction", T.BooleanType())]))
@@ -56,6 +56,7 @@ def _plain(value: Column) -> Column:
     return F.regexp_replace(v, r"^([^:]*[^0-9.,:+-][^:]*):([+-]?[0-9][0-9.,]*)$", "$2$1")
 
 
+BARE = r"^[0-9]{1,15}(?:\.[0-9]{1,15})?$"
 NUMBER = r"^([+-]?[0-9.,]*?[0-9])((?:[x*]?10\^[0-9]+)?(?:[^0-9.,+-].*)?)$"
 FEET = r"^([0-9]+)(?:ft|foot|feet|')\.?([0-9]+(?:\.[0-9]+)?)(?:in|inch|inches|\"|'')?\.?$"
 
@@ -68,6 +69,35 @@ def number_of(text: Column) -> Column:
     return plain.try_cast("double")
 
 
+def raw_fields(records: DataFrame) -> DataFrame:
+    """One row per field with a value: the record's columns but fields_json, and col_name, raw, confidence, is_correction."""
+    kept = [c for c in records.columns if c != "fields_json"]
+    rows = records.select(*kept, F.explode(F.from_json("fields_json", FIELDS)).alias("col_name", "field"))
+    return rows.where(is_known(F.col("field.value"))).select(*kept, "col_name", F.col("field.value").alias("raw"), F.col("field.confidence").alias("confidence"), F.col("field.is_correction").alias("is_correction"))
+
+
+def _reading(raw: Column) -> Column:
+    """number and unit_text of a value. Bare decimals, the most of them, are cast; each step of the others is bound to a variable, so that it runs once."""
+
+    def number(plain: Column) -> Column:
+        feet = F.regexp_extract(plain, FEET, 1)
+        whole = F.transform(F.array(F.regexp_extract(plain, NUMBER, 1)), lambda digits: F.struct(number_of(digits).alias("number"), F.regexp_extract(plain, NUMBER, 2).alias("unit_text")))[0]
+        return F.when(feet != "", F.struct((feet.cast("double") + F.regexp_extract(plain, FEET, 2).cast("double") / 12).alias("number"), F.lit("ft").alias("unit_text"))).otherwise(whole)
+
+    bare = F.struct(raw.try_cast("double").alias("number"), F.lit("").alias("unit_text"))
+    return F.when(raw.rlike(BARE), bare).otherwise(F.transform(F.array(_plain(raw)), number)[0])
+
+
+def read_numbers(rows: DataFrame) -> DataFrame:
+    """Adds number and unit_text to rows with raw; rows without a number are left out.
+
+    The reading passes through a generator: a filter on its result then stays
+    behind it, and is not pushed below as a second reading.
+    """
+    read = rows.withColumn("reading", F.explode(F.array(_reading(F.col("raw"))))).where("reading.number is not null")
+    return read.withColumns({"number": F.col("reading.number"), "unit_text": F.col("reading.unit_text")}).drop("reading")
+
+
 def explode_fields(records: DataFrame) -> DataFrame:
     """One row per field that holds a number: the record's columns but fields_json, and col_name, raw, confidence, is_correction, number, unit_text.
 
@@ -75,15 +105,7 @@ def explode_fields(records: DataFrame) -> DataFrame:
     number, are left out; text that is not JSON counts as no fields. Feet with
     inches become decimal feet.
     """
-    kept = [c for c in records.columns if c != "fields_json"]
-    rows = records.select(*kept, F.explode(F.from_json("fields_json", FIELDS)).alias("col_name", "field"))
-    rows = rows.where(is_known(F.col("field.value"))).select(*kept, "col_name", F.col("field.value").alias("raw"), F.col("field.confidence").alias("confidence"), F.col("field.is_correction").alias("is_correction"))
-    rows = rows.withColumn("plain", _plain(F.col("raw")))
-    feet = F.regexp_extract("plain", FEET, 1)
-    rows = rows.withColumn("feet", F.when(feet != "", feet.cast("double") + F.regexp_extract("plain", FEET, 2).cast("double") / 12))
-    rows = rows.withColumn("number", F.coalesce(F.col("feet"), number_of(F.regexp_extract("plain", NUMBER, 1))))
-    rows = rows.withColumn("unit_text", F.when(F.col("feet").isNotNull(), "ft").otherwise(F.regexp_extract("plain", NUMBER, 2)))
-    return rows.where("number is not null").drop("plain", "feet")
+    return read_numbers(raw_fields(records))
 
 
 def canonical_values(records: DataFrame, columns: DataFrame) -> DataFrame:
@@ -98,16 +120,17 @@ def canonical_values(records: DataFrame, columns: DataFrame) -> DataFrame:
     that hold no known quantity are left out.
     """
     spark = records.sparkSession
-    values = explode_fields(records.drop(*(c for c in records.columns if c in ADDED)))
+    values = raw_fields(records.drop(*(c for c in records.columns if c in ADDED)))
     # The listing lacks some columns: their names alone must tell what they hold.
-    names = F.explode(F.map_keys(F.from_json("fields_json", T.MapType(T.StringType(), T.StringType()))))
-    seen = records.select(F.col("source_table").alias("in_table"), names.alias("col_name")).distinct()
+    names = F.explode(F.json_object_keys("fields_json"))
+    # Written before the meanings are asked for, so that they are asked of each name once and not of every field.
+    seen = materialise(records.select(F.col("source_table").alias("in_table"), names.alias("col_name")).distinct())
     listed = columns.select("in_table", "col_name", "description")
     unlisted = seen.join(listed, ["in_table", "col_name"], "left_anti").withColumn("description", F.lit(None).cast("string"))
     # A few dozen names meet all values; as a shuffle join they would be a few dozen hot keys.
     meanings = broadcast_if_small(materialise(column_quantities(listed.unionByName(unlisted)).withColumnRenamed("in_table", "source_table")))
     units = conversions(spark)
-    known = values.join(meanings, ["source_table", "col_name"])
+    known = read_numbers(values.join(meanings, ["source_table", "col_name"]))
     spelling = F.regexp_replace("unit_text", r"\.$", "")
     known = known.withColumn("spelling", spelling).join(F.broadcast(spellings(spark)), ["quantity", "spelling"], "left").drop("spelling")
     # The units of a quantity, common first, to try a bare number against: four at most.
