@@ -14,12 +14,12 @@ QUERIES = {
     "p5_pieces": splitting.pieces_of,
     "p6_found": lambda spark, d: survivor.survivors_of(spark, d).select("row_id", "quantity"),
     "p7_found": leakage.leaks_of,
-    "p7_report": lambda spark, d: leakage.leak_report(leakage.leaks_of(spark, d)),
+    "p7_report": lambda spark, d: leakage.leak_report(leakage.stretches_of(spark, d)),
     "p8_mix": mixing.mix_of,
     "p8_shares": mixing.report_of,
     "p9_found": lambda spark, d: subjects.document_subjects(subjects.shares_of(spark, d)),
     "p9_corpus": lambda spark, d: subjects.corpus_shares(subjects.shares_of(spark, d), load(spark, d, "documents")),
-    "p6_records": lambda spark, d: survivor.survivor_records(survivor.survivors_of(spark, d)),
+    "p6_records": lambda spark, d: survivor.built_records(survivor.consensus_values(survivor.values_of(spark, d))),
 }
 ORACLE = {
     "p6_found": survivor_sql.P6_FOUND,

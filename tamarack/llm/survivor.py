@@ -1,12 +1,17 @@
-"""The best representative of each group of duplicate records, by token-level consensus.
-
-The values a group holds for one quantity are aligned token by token; each
-column of the alignment is decided by weighted votes, and the existing value
-closest to the consensus survives. Weights fall by half with each place in the
-order of preference, so a better value always outweighs all worse ones
-together: the first place wins every column, and the order decides alone. With
-these weights no later place changes a column, so a group of any size may first
-be cut, map-side, to its DEPTH best values.
+"""The best representative of each group of duplicate records.
+
+Two results come from the same groups:
+
+surviving_values() names the row whose value survives under a stated total
+order of preference. An order that leaves no ties decides alone: no vote could
+change it, so none is held, and a group is one combinable aggregate.
+
+consensus_values() builds a record. The distinct values a group holds for one
+quantity, in the common unit, are aligned token by token to the group's
+preferred value; each column of the alignment is decided by votes weighted by
+the tier of the rows (clear, confidence, correction, but neither time nor row
+number), and the existing value closest to the consensus is taken. Three rows
+of one tier that agree outvote a later one that does not.
 """
 
 from __future__ import annotations
@@ -14,17 +19,15 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.functions.keys import entity_number, is_known, stripped
 from tamarack.operators.units import canonical_values
-from tamarack.session import load, spread
-
-#: Places of a group that vote; place n weighs 2 ** -n.
-DEPTH = 6
+from tamarack.session import load, materialise, spread
 
+GROUP = ("entity", "record", "quantity")
 _TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_")
 
 
@@ -49,42 +52,24 @@ def align(a: list[str | None], b: list[str]) -> list[tuple[int | None, int | Non
     return pairs[::-1]
 
 
-def consensus_place(values: list[str], weights: list[float]) -> int:
-    """The place of the value closest to the weighted consensus of all; values come in order of preference.
+def slots(head: str, text: str) -> list[str]:
+    """The tokens of a text as "slot token", slots being places in the alignment to a head: "3" its third token, "3+2" the second one put in behind it."""
+    out, place, put_in = [], -1, 0
+    tokens = _TOKEN.findall(text)
+    for i, j in align(_TOKEN.findall(head), tokens):
+        if i is None:
+            put_in += 1
+            out.append(f"{place}+{put_in} {tokens[j]}")
+        else:
+            place, put_in = i, 0
+            if j is not None:
+                out.append(f"{place} {tokens[j]}")
+    return out
 
-    Columns are built by progressive alignment, heaviest value first. Distance
-    is the weight of the columns in which a value differs from the winners;
-    ties go to the preferred value.
-    """
-    if not values:
-        return -1
-    rows = [_TOKEN.findall(v or "") for v in values]
-    if all(r == rows[0] for r in rows):
-        return 0
-    columns: list[list[str | None]] = [[t] for t in rows[0]]
-    heads: list[str | None] = list(rows[0])
-    for k, row in enumerate(rows[1:], 1):
-        merged, merged_heads = [], []
-        for i, j in align(heads, row):
-            column = columns[i] if i is not None else [None] * k
-            merged.append([*column, row[j] if j is not None else None])
-            merged_heads.append(heads[i] if i is not None else row[j])
-        columns, heads = merged, merged_heads
-    off = [0.0] * len(rows)
-    for column in columns:
-        votes: dict[str | None, float] = {}
-        for token, w in zip(column, weights, strict=True):
-            votes[token] = votes.get(token, 0.0) + w
-        winner = max(votes, key=lambda t: votes[t])
-        for k, token in enumerate(column):
-            off[k] += token != winner
-    return min(range(len(rows)), key=lambda k: (off[k], k))
-
-
-@F.pandas_udf(T.IntegerType())
-def consensus_places(values: pd.Series) -> pd.Series:
-    """consensus_place() of each array of values, weighted by place."""
-    return pd.Series([consensus_place(list(v), [2.0**-n for n in range(1, len(v) + 1)]) for v in values], dtype="int32")
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def slots_of(head: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([slots(h, t) for h, t in zip(head, text, strict=True)])
 
 
 def with_record(records: DataFrame) -> DataFrame:
@@ -105,39 +90,77 @@ def with_record(records: DataFrame) -> DataFrame:
     return dated.withColumn("record", record).drop("parts", "head", "tail", "date")
 
 
-def surviving_values(records: DataFrame, columns: DataFrame) -> DataFrame:
-    """entity, record, quantity, row_id, raw, value, unit, common: the surviving value of every quantity of every record held by two or more rows.
+def grouped_values(records: DataFrame, columns: DataFrame) -> DataFrame:
+    """Every value of every record held by two or more rows: entity, record, quantity, row_id, col_name, raw, value, unit, common, weight, order.
 
     records: row_id, record_id, entity_type, source_table, fields_json,
     ambiguous_fields, extracted_at; columns: in_table, col_name, description.
-    Order of preference: a value present, its column not ambiguous in its row,
-    higher confidence, a correction, later extraction (null first), smaller
-    row_id. Null confidence is the lowest, null flags are false. Rows without
-    an entity or record id belong to no group; groups without any value of a
-    quantity give no row for it.
+    order sorts the preferred value first: its column not ambiguous in its row,
+    higher confidence, a correction, later extraction (null is earliest),
+    smaller row_id. weight is the tier alone: three times for clear columns, as
+    much more for each step of confidence, twice for corrections. Null
+    confidence is the lowest, null flags are false. Rows without an entity or
+    record id belong to no group.
     """
     rows = with_record(records.select("row_id", "record_id", "entity_type", "source_table", "fields_json", "ambiguous_fields", F.col("extracted_at").cast("timestamp").alias("extracted_at"))).drop("record_id", "entity_type")
     held = rows.groupBy("entity", "record").agg(F.count("*").alias("rows")).where("rows > 1").select("entity", "record")
-
     confidence = F.coalesce(F.element_at(F.create_map(F.lit("high"), F.lit(3), F.lit("medium"), F.lit(2), F.lit("low"), F.lit(1)), F.lower(F.trim("confidence"))), F.lit(0))
-    ambiguous = F.coalesce(F.array_contains("ambiguous_fields", F.col("col_name")), F.lit(False))
-    preference = F.struct(
-        (~ambiguous).cast("int").alias("clear"), confidence.alias("confidence"), F.coalesce(F.col("is_correction"), F.lit(False)).cast("int").alias("correction"), F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**62))).alias("at"), (-F.col("row_id")).alias("first")
-    )
-    values = canonical_values(rows, columns).withColumn("preference", preference)
-    order = Window.partitionBy("entity", "record", "quantity").orderBy(F.desc("preference"), "col_name")
-    # The rank filter is applied before the shuffle too, so a hot group sends DEPTH rows per task.
-    best = values.withColumn("place", F.row_number().over(order)).where(F.col("place") <= DEPTH)
-    group = best.groupBy("entity", "record", "quantity").agg(F.sort_array(F.collect_list(F.struct("place", "row_id", "raw", "value", "unit", "common"))).alias("values"))
-    chosen = group.join(held, ["entity", "record"], "left_semi").withColumn("n", consensus_places(F.col("values.raw")))
-    kept = F.col("values")[F.col("n")]
-    return chosen.select("entity", "record", "quantity", *(kept[c].alias(c) for c in ("row_id", "raw", "value", "unit", "common")))
+    ambiguous = F.coalesce(F.array_contains("ambiguous_fields", F.col("col_name")), F.lit(False)).cast("int")
+    correction = F.coalesce(F.col("is_correction"), F.lit(False)).cast("int")
+    order = F.struct(ambiguous.alias("ambiguous"), (-confidence).alias("confidence"), (-correction).alias("correction"), (-F.coalesce(F.unix_micros("extracted_at"), F.lit(-(2**62)))).alias("at"), "row_id", "col_name")
+    weight = (3 - 2 * ambiguous) * (1 + confidence) * (1 + correction)
+    values = canonical_values(rows, columns).withColumn("order", order).withColumn("weight", weight)
+    return values.select(*GROUP, "row_id", "col_name", "raw", "value", "unit", "common", "weight", "order").join(held, ["entity", "record"], "left_semi")
+
+
+def surviving_values(values: DataFrame, *kept: str) -> DataFrame:
+    """entity, record, quantity and the kept columns (all by default) of the first value of each group in the stated order.
+
+    values: as of grouped_values(). One aggregate that combines map-side: a
+    record that holds a third of all rows sends one value per task. Groups
+    without any value of a quantity give no row for it.
+    """
+    kept = kept or ("row_id", "raw", "value", "unit", "common")
+    best = values.groupBy(*GROUP).agg(F.min_by(F.struct(*kept), "order").alias("best"))
+    return best.select(*GROUP, *(F.col("best")[c].alias(c) for c in kept))
+
+
+def consensus_values(values: DataFrame, places: int = 4) -> DataFrame:
+    """entity, record, quantity, value, votes, voters of every group: the existing value closest to the token consensus.
+
+    values: as of grouped_values(). Values count as equal when they agree to
+    places decimals in the common unit. votes is the weight of the rows that
+    hold the value taken, voters of all. A column of the alignment goes to the
+    token of most weight, ties to the greater one; the distance of a value is
+    the number of columns in which it differs, ties go to the preferred one.
+    Nothing is collected per group but its columns, which the length of a value bounds.
+    """
+    text = F.round("value", places).cast("string")
+    texts = materialise(values.where("value is not null").groupBy(*GROUP, text.alias("text")).agg(F.sum("weight").alias("weight"), F.min("order").alias("order")))
+    heads = texts.groupBy(*GROUP).agg(F.min_by("text", "order").alias("head"), F.sum("weight").alias("voters"), F.count("*").alias("texts"))
+    single = heads.where("texts = 1").select(*GROUP, F.col("head").alias("text"), F.col("voters").alias("votes"), "voters")
+    several = texts.join(heads.where("texts > 1"), list(GROUP))
+    aligned = materialise(several.withColumn("slots", slots_of("head", "text")).drop("texts", "head"))
+    cast = aligned.select(*GROUP, "voters", "weight", F.explode("slots").alias("slot")).groupBy(*GROUP, "slot").agg(F.sum("weight").alias("votes"), F.first("voters").alias("voters"))
+    column = F.substring_index("slot", " ", 1)
+    won = cast.groupBy(*GROUP, column.alias("column")).agg(F.max(F.struct("votes", "slot")).alias("best"), F.sum("votes").alias("all"), F.first("voters").alias("voters"))
+    # Who has no token in a column votes for none there.
+    consensus = won.where(F.col("best.votes") >= F.col("voters") - F.col("all")).groupBy(*GROUP).agg(F.collect_list("best.slot").alias("consensus"))
+    met = aligned.join(consensus, list(GROUP), "left").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<string>")))
+    columns_off = F.size(F.array_distinct(F.transform(F.concat(F.array_except("slots", "consensus"), F.array_except("consensus", "slots")), lambda s: F.substring_index(s, " ", 1))))
+    best = met.groupBy(*GROUP).agg(F.min_by(F.struct("text", "weight", "voters"), F.struct(columns_off.alias("off"), "order")).alias("best"))
+    taken = single.unionByName(best.select(*GROUP, "best.text", F.col("best.weight").alias("votes"), "best.voters"))
+    return taken.select(*GROUP, F.col("text").cast("double").alias("value"), "votes", "voters")
+
+
+def values_of(spark, sf_dir: str) -> DataFrame:
+    return grouped_values(spread(load(spark, sf_dir, "extracted_record")), load(spark, sf_dir, "column_info"))
 
 
 def survivors_of(spark, sf_dir: str) -> DataFrame:
-    return surviving_values(spread(load(spark, sf_dir, "extracted_record")), load(spark, sf_dir, "column_info"))
+    return surviving_values(values_of(spark, sf_dir), "row_id")
 
 
-def survivor_records(survivors: DataFrame) -> DataFrame:
-    """One row per record: the surviving values by quantity, in the common units."""
-    return survivors.groupBy("entity", "record").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("quantity", F.round("value", 4))))).alias("fields"))
+def built_records(consensus: DataFrame) -> DataFrame:
+    """One row per record: the consensus values by quantity, in the common units."""
+    return consensus.groupBy("entity", "record").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("quantity", "value")))).alias("fields"))
