@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tamarack.llm import leakage
 from tamarack.llm.words import words
@@ -81,13 +82,13 @@ def test_recall_against_brute_force(spark):
     assert len(want) >= 100 and len(got & want) >= 0.98 * len(want)
 
 
-def test_blocks_of_items_agree(spark, monkeypatch):
+@pytest.mark.parametrize("size", [4, 1])
+def test_blocks_of_items_agree(spark, monkeypatch, size):
     items = make_items(12, 3)
-    docs = [(k, t) for k, t in items]
+    docs = [(k, t) for k, t in items] + [(100 + k, " ".join(items[k][1].split()[8:24] + items[k + 1][1].split()[5:30])) for k in range(0, 10)]
     whole = found(spark, docs, items)
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 4)
-    # A word's own-ness is counted within a block, so blocks can only add.
-    assert whole <= found(spark, docs, items)
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", size)
+    assert whole == found(spark, docs, items)
     assert {(k, k) for k, _ in items} <= whole
 
 
@@ -97,11 +98,13 @@ def test_empty_tables(spark):
     assert found(spark, [(1, "x " * 50)], [(1, None), (2, "too short")]) == set()
 
 
-def test_walks_keep_equal_windows_equal():
-    index = leakage.ItemIndex.build([(1, [f"w{i}" for i in range(20)])])
-    w = np.arange(12, dtype=np.int32)[None, :]
-    assert (index.keys_of(w) == index.keys_of(w.copy())).all()
-    assert index.keys_of(w).shape == (leakage.WALKS * leakage.SAMPLES, 1)
+def test_keys_depend_on_the_words_alone():
+    one = leakage.ItemIndex([(1, [f"w{i}" for i in range(20)])], {"w3"})
+    two = leakage.ItemIndex([(1, [f"w{i}" for i in range(20)]), (2, [f"a{i}" for i in range(30)])], {"w3"})
+    keys = lambda index: leakage.keys_of(np.array([[index.lexicon[f"w{i}"] for i in range(12)]]), np.array(index.codes, np.uint64))
+    assert (keys(one) == keys(two)).all() and keys(one).shape == (leakage.WALKS * leakage.SAMPLES, 1)
+    bits = leakage.goes_on(np.arange(1, 20_000, dtype=np.uint64))
+    assert abs(bits.mean() - 0.5) < 0.01
 
 
 def test_stretch_counts_edits():
