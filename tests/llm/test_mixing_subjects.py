@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tamarack.llm import mixing, subjects
@@ -39,12 +40,46 @@ def test_shares_are_met(spark):
 def test_source_far_too_small_falls_short(spark):
     docs = spark.createDataFrame(corpus(), DOCS)
     targets = spark.createDataFrame([("big_one", 0.5, 1), ("small", 0.3, 4), ("tiny", 0.2, 1)], TARGETS)
-    rows = mixing.draw(docs, targets).collect()
+    rows = mixing.draw(docs, targets, shortfall=0.2).collect()
     tiny = [r for r in rows if r["source"] == "tiny"]
     assert len(tiny) >= 10 and {r["copies"] for r in tiny} == {1}
     assert sum(1 for r in rows if r["source"] == "big_one") > 200
 
 
+def test_without_shortfall_the_smallest_source_limits_the_total(spark):
+    docs = spark.createDataFrame(corpus(), DOCS)
+    targets = spark.createDataFrame([("big_one", 0.5, 1), ("small", 0.3, 4), ("tiny", 0.2, 1)], TARGETS)
+    rows = mixing.draw(docs, targets).collect()
+    total = sum(r["tokens"] * r["copies"] for r in rows)
+    assert sum(r["tokens"] for r in rows if r["source"] == "tiny") / total == pytest.approx(0.2, abs=0.05)
+
+
+def test_soft_membership_meets_targets_that_hard_assignment_misses():
+    """Half of the tokens are of documents that are two thirds a and one third b: counted as a's they hide a third of what b gets."""
+    weight, member, most = np.array([100.0, 100.0, 200.0]), np.array([[1, 0], [0, 1], [2 / 3, 1 / 3]]), np.ones(3)
+    target = np.array([150.0, 150.0])
+    soft = (mixing.fit_rates(weight, member, most, target) * weight) @ member
+    assert soft == pytest.approx(target, rel=1e-6)
+    hard = (mixing.fit_rates(weight, member.round(), most, target) * weight) @ member
+    assert abs(hard - target).max() > 15
+
+
+def test_mixed_documents_without_source_are_drawn(spark):
+    rng = random.Random(8)
+    say = lambda *names: " ".join(rng.choice([f"{n}word{rng.randint(1, 3)}" for n in names]) for _ in range(20))
+    docs = [(i, say("alpha" if i % 2 else "beta"), "alpha" if i % 2 else "beta", 0) for i in range(200)] + [(1000 + i, say("alpha", "beta"), None, 0) for i in range(60)]
+    targets = spark.createDataFrame([("alpha", 0.5, 1), ("beta", 0.5, 1)], TARGETS)
+    rows = mixing.draw(spark.createDataFrame(docs, DOCS), targets).collect()
+    assert sum(r["doc_id"] >= 1000 for r in rows) >= 55
+    assert {r["source"]: r["actual_share"] for r in rows} == pytest.approx({"alpha": 0.5, "beta": 0.5}, abs=0.02)
+
+
+def test_parts():
+    assert mixing._parts(np.array([1.0, 0.0])) == (0, -1, 16, 0)
+    assert mixing._parts(np.array([0.3, 0.0, 0.7])) == (2, 0, 11, 5)
+    assert mixing._parts(np.array([0.01, 0.01]))[2] == 0
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], DOCS)
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
@@ -55,7 +90,11 @@ def test_no_documents(spark):
 
 def test_reachable_total():
     assert mixing.reachable_total({"a": 100, "b": 60}, {"a": 0.5, "b": 0.5}) == 120
-    assert mixing.reachable_total({"a": 100, "b": 90, "c": 1}, {"a": 0.4, "b": 0.4, "c": 0.2}) == 225
+    few = ({"a": 100, "b": 90, "c": 1}, {"a": 0.4, "b": 0.4, "c": 0.2})
+    assert mixing.reachable_total(*few) == 5
+    # A fifth may be missed: all of c, and of b what 227.5 tokens ask beyond its 90.
+    assert mixing.reachable_total(*few, 0.2) == pytest.approx(227.5)
+    assert mixing.reachable_total(*few, 0.1) == pytest.approx(10)
     assert mixing.reachable_total({}, {}) == 0.0
 
 
