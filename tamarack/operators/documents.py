@@ -1,11 +1,15 @@
-"""Prose to tables: sections, packing, ids, values, corrections, dates and vocabulary, as built-in expressions.
+"""Prose to tables: sections, packing, ids, dates and vocabulary, as built-in expressions.
 
 A document stays one row until an array of its parts is exploded; sequential
-packing runs inside the row with aggregate(), never in a window over documents.
+packing is one Arrow pass over the sizes of its parts, never a window over
+documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,24 +49,60 @@ def data_density(parts: DataFrame, by: str, text: str, least: float = 0.3) -> Da
     return parts.groupBy(by).agg(F.count("*").alias("parts"), F.round(F.avg(F.when(is_data_bearing(F.col(text)), 1.0).otherwise(0.0)), 6).alias("density")).withColumn("kept", F.col("density") >= least)
 
 
+def greedy_units(sizes: list[int], limit: int, most: int | None = None) -> list[tuple[int, int]]:
+    """(first part, parts) of units packed in order: a new one begins when the next part would pass the limit, or most parts are in."""
+    units: list[list[int]] = []
+    total = 0
+    for k, n in enumerate(sizes):
+        if units and total + n <= limit and (most is None or units[-1][1] < most):
+            units[-1][1] += 1
+            total += n
+        else:
+            units.append([k, 1])
+            total = n
+    return [(a, b) for a, b in units]
+
+
+def _packed(docs: DataFrame, parts: Column, size: Column, limit: int, most: int | None = None) -> DataFrame:
+    """doc_id, unit, total, parts: one Arrow pass over the sizes of each document's parts; texts stay behind."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(d, u, int(sum(s[a : a + n])), n) for d, s in zip(pdf["doc_id"], pdf["sizes"], strict=True) for u, (a, n) in enumerate(greedy_units(list(s), limit, most))]
+            yield pd.DataFrame(rows, columns=["doc_id", "unit", "total", "parts"])
+
+    sizes = docs.where(parts.isNotNull()).select("doc_id", F.transform(parts, lambda x: size(x)).alias("sizes"))
+    return sizes.mapInPandas(run, "doc_id bigint, unit int, total int, parts int")
+
+
 def pack_parts(docs: DataFrame, limit: int = 3000, text: str = "text", separator: str = "\n") -> DataFrame:
     """doc_id, unit, tokens, parts: a document's parts packed in order, a new unit when the next part would pass the limit.
 
-    A single part above the limit is a unit of its own.
+    A single part above the limit is a unit of its own. Null texts have no units.
     """
-    size = lambda x: F.floor(F.length(x) / CHARS_PER_TOKEN).cast("int")
     parts = F.filter(F.split(text, separator), lambda x: F.trim(x) != "")
-    start = F.array().cast("array<struct<tokens:int,parts:int>>")
+    return _packed(docs, parts, lambda x: F.floor(F.length(x) / CHARS_PER_TOKEN).cast("int"), limit).withColumnRenamed("total", "tokens")
+
+
+def extraction_units(paragraphs: DataFrame, limit: int = 3000) -> DataFrame:
+    """doc_id, unit, section_heading, text, token_estimate: the data-bearing paragraphs of a document packed in order.
+
+    paragraphs: doc_id, place, heading, text, those of sections dense with data.
+    A unit has the heading of its first paragraph; paragraphs are joined by
+    blank lines. One document's paragraphs meet in one task.
+    """
 
-    def step(units: Column, part: Column) -> Column:
-        last = F.try_element_at(units, F.lit(-1))
-        fresh = F.struct(size(part).alias("tokens"), F.lit(1).alias("parts"))
-        grown = F.struct((last["tokens"] + size(part)).alias("tokens"), (last["parts"] + 1).alias("parts"))
-        fits = F.coalesce(last["tokens"] + size(part) <= limit, F.lit(False))
-        return F.when(fits, F.concat(F.slice(units, 1, F.size(units) - 1), F.array(grown))).otherwise(F.concat(units, F.array(fresh)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc, parts in zip(pdf["doc_id"], pdf["parts"], strict=True):
+                sizes = [len(p["text"]) // CHARS_PER_TOKEN for p in parts]
+                for u, (a, n) in enumerate(greedy_units(sizes, limit)):
+                    rows.append((doc, u, parts[a]["heading"], "\n\n".join(p["text"] for p in parts[a : a + n]), sum(sizes[a : a + n])))
+            yield pd.DataFrame(rows, columns=["doc_id", "unit", "section_heading", "text", "token_estimate"])
 
-    packed = docs.select("doc_id", F.aggregate(parts, start, step).alias("units"))
-    return packed.select("doc_id", F.posexplode("units").alias("unit", "u")).select("doc_id", "unit", "u.tokens", "u.parts")
+    kept = paragraphs.where(is_data_bearing(F.col("text"))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "heading", "text"))).alias("parts"))
+    return kept.mapInPandas(run, "doc_id bigint, unit int, section_heading string, text string, token_estimate int")
 
 
 def ids(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -82,27 +122,6 @@ def composite_key(docs: DataFrame, text: str = "text", least: int = 3) -> DataFr
     return ids(docs, text).groupBy("id").agg(F.count_distinct("doc_id").alias("parts")).where(F.col("parts") >= least)
 
 
-def numeric_after(c: Column, label: str, reach: int = 120) -> Column:
-    """The first number within reach of a label that is neither an id of five digits nor part of a word."""
-    return F.regexp_extract(c, rf"(?i)\b{label}\b[^0-9]{{0,{reach}}}?({NUMBER})(?![0-9]*[A-Za-z])", 1).try_cast("double")
-
-
-#: Ways in which a text takes a value back; the group is the value that counts.
-CORRECTIONS = (
-    rf"(?i)initially[^.]*?{NUMBER}[^.]*?corrected to\s+({NUMBER})",
-    rf"(?i){NUMBER}[^.]*?amended to\s+({NUMBER})",
-    rf"(?i)adjusted from\s+{NUMBER}\s+to\s+({NUMBER})",
-    rf"(?i)suggested\s+{NUMBER}[^.]*?verification confirmed\s+({NUMBER})",
-    rf"(?i)transcribed as\s+{NUMBER}[^.]*?definitive analysis confirmed\s+({NUMBER})",
-)
-
-
-def corrected(c: Column) -> Column:
-    """The value a correction leaves, by the first form that occurs; null without one. Decimal points end no sentence here."""
-    found = [F.regexp_extract(c, p.replace("[^.]*?", r"(?:[^.]|\.(?=[0-9]))*?"), 1) for p in CORRECTIONS]
-    return F.coalesce(*(F.when(x != "", x.try_cast("double")) for x in found))
-
-
 def missing_field(c: Column, label: str, reach: int = 150) -> Column:
     """Whether a text says near a label that there is no value."""
     return F.coalesce(c.rlike(rf"(?i)\b{label}\b[^.]{{0,{reach}}}?\b(?:not (?:available|recorded|measured|reported|documented)|missing|unavailable|no (?:value|data|result))\b"), F.lit(False))
@@ -135,9 +154,20 @@ def binary_category(c: Column, yes: str, negation: str = r"\b(?:no|not|without|n
 
 
 def discover_fields(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
-    """field, n, mean of "ABBR was/of/at N" statements seen least times or more."""
-    hits = F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(rf"\b([A-Z]{{2,6}}) (?:was|of|at) ({NUMBER})"), F.lit(1)).alias("field"), F.regexp_extract_all(text, F.lit(rf"\b([A-Z]{{2,6}}) (?:was|of|at) ({NUMBER})"), F.lit(2)).alias("value")))
-    return docs.select(hits.alias("h")).groupBy("h.field").agg(F.count("*").alias("n"), F.round(F.avg(F.col("h.value").cast("double")), 6).alias("mean")).where(F.col("n") >= least)
+    """field, n, mean, unit of "ABBR was/of/at N unit" statements seen least times or more; unit: the one seen most often, the smaller of equals, null where none follows."""
+    pattern = F.lit(rf"\b([A-Z]{{2,6}}) (?:was|of|at) ({NUMBER})(?: ?([a-zA-Z%]+(?:/[a-zA-Z]+)?))?")
+    part = lambda g: F.regexp_extract_all(text, pattern, F.lit(g))
+    hits = docs.select(F.explode(F.arrays_zip(part(1).alias("field"), part(2).alias("value"), part(3).alias("unit"))).alias("h"))
+    by_unit = hits.groupBy("h.field", F.nullif("h.unit", F.lit("")).alias("unit")).agg(F.count("*").alias("n"), F.sum(F.col("h.value").cast("double")).alias("sum"))
+    best = F.min(F.when(F.col("unit").isNotNull(), F.struct((-F.col("n")).alias("less"), "unit")))
+    return by_unit.groupBy("field").agg(F.sum("n").alias("n"), F.round(F.sum("sum") / F.sum("n"), 6).alias("mean"), best["unit"].alias("unit")).where(F.col("n") >= least)
+
+
+def field_aliases(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
+    """field, alias, n of "full name (ABBR)" statements, names in lower case."""
+    pattern = F.lit(r"([A-Za-z]+(?: [a-z]+){0,3}) \(([A-Z][A-Z-]{1,6})\)")
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(2)).alias("field"), F.regexp_extract_all(text, pattern, F.lit(1)).alias("alias"))
+    return docs.select(F.explode(pairs).alias("h")).groupBy("h.field", F.lower("h.alias").alias("alias")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def knowledge_fields(text: Column) -> Column:
@@ -147,19 +177,13 @@ def knowledge_fields(text: Column) -> Column:
     return F.arrays_zip(part(1).alias("name"), part(2).alias("type"), part(3).alias("description"))
 
 
-def chunks(docs: DataFrame, chars: int, parts: int, text: str = "text", least: int = 1) -> DataFrame:
-    """doc_id, chunk, chars, parts: paragraphs of at least least characters packed in order, a new chunk when characters or parts would pass their limits."""
-    pieces = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
-    start = F.array().cast("array<struct<chars:int,parts:int>>")
+def chunks(docs: DataFrame, chars: int, parts: int | None, text: str = "text", least: int = 1, separator: str = r"\n\s*\n") -> DataFrame:
+    """doc_id, chunk, chars, parts: paragraphs of at least least characters packed in order, a new chunk when characters or parts would pass their limits.
 
-    def step(units: Column, piece: Column) -> Column:
-        last = F.try_element_at(units, F.lit(-1))
-        grown = F.struct((last["chars"] + F.length(piece)).cast("int").alias("chars"), (last["parts"] + 1).alias("parts"))
-        fits = F.coalesce((last["chars"] + F.length(piece) <= chars) & (last["parts"] < parts), F.lit(False))
-        return F.when(fits, F.concat(F.slice(units, 1, F.size(units) - 1), F.array(grown))).otherwise(F.concat(units, F.array(F.struct(F.length(piece).alias("chars"), F.lit(1).alias("parts")))))
-
-    packed = docs.select("doc_id", F.aggregate(pieces, start, step).alias("units"))
-    return packed.select("doc_id", F.posexplode("units").alias("chunk", "u")).select("doc_id", "chunk", "u.chars", "u.parts")
+    With a separator of headings it packs sections.
+    """
+    pieces = F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: F.length(x) >= least)
+    return _packed(docs, pieces, lambda x: F.length(x), chars, parts).select("doc_id", F.col("unit").alias("chunk"), F.col("total").alias("chars"), "parts")
 
 
 def stratified_sample(parts: DataFrame, text: str, order: str, spaced: int = 5) -> DataFrame:
@@ -196,9 +220,11 @@ def canonical_values(df: DataFrame, column: str, least: int = 2, longest: int =
     """
     counts = df.where(F.trim(column) != "").groupBy(F.lower(F.trim(column)).alias("value")).agg(F.count("*").alias("n"))
     short = counts.where((F.col("n") >= least) & (F.length("value") <= longest)).select(F.col("value").alias("canonical"))
+    # No form longer than the limit is made: a short value of longest characters has at most half as many words.
     words = F.split("value", r"\s+")
-    heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
-    tails = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.size(words) - i + 1, i), " "))
+    reach = F.sequence(F.lit(1), F.least(F.size(words), F.lit(longest // 2 + 1)))
+    heads = F.filter(F.transform(reach, lambda i: F.array_join(F.slice(words, F.lit(1), i), " ")), lambda x: F.length(x) <= longest)
+    tails = F.filter(F.transform(reach, lambda i: F.array_join(F.slice(words, F.size(words) - i + 1, i), " ")), lambda x: F.length(x) <= longest)
     forms = counts.select("value", F.explode(F.array_distinct(F.concat(heads, tails))).alias("canonical")).where("canonical <> value")
     return forms.join(short, "canonical").groupBy("value").agg(F.min_by("canonical", F.struct(F.length("canonical"), "canonical")).alias("canonical"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import documents as D
 from tamarack.operators import graph, merge, probes, profile, scoring
+from tamarack.operators import prose as P
 from tamarack.plans import planner
 from tamarack.session import load
 
@@ -589,7 +590,19 @@ def _(spark, d):
     return D.ids(load(spark, d, "documents")).select("doc_id", "id")
 
 
-@query("doc_units_packed")
+def packed_sql(parts: str, limit: int, most: int | None, total: str, unit: str) -> str:
+    """A statement of greedy packing, part after part; parts: doc_id, k, size."""
+    fits = f"w.total + p.size <= {limit}" + (f" AND w.parts < {most}" if most else "")
+    return f"""WITH RECURSIVE s AS ({parts}), p AS (SELECT doc_id, size, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM s),
+    w AS (SELECT doc_id, i, size AS total, 1 AS parts, 0 AS unit FROM p WHERE i = 1
+      UNION ALL SELECT p.doc_id, p.i, CASE WHEN {fits} THEN w.total + p.size ELSE p.size END, CASE WHEN {fits} THEN w.parts + 1 ELSE 1 END, CASE WHEN {fits} THEN w.unit ELSE w.unit + 1 END FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
+    SELECT doc_id, unit AS {unit}, max(total) AS {total}, max(parts) AS parts FROM w GROUP BY doc_id, unit"""
+
+
+_LINES = "SELECT doc_id, k, length(v) // 4 AS size FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL) WHERE trim(v) <> ''"
+
+
+@query("doc_units_packed", packed_sql(_LINES, 300, None, "tokens", "unit"))
 def _(spark, d):
     return D.pack_parts(load(spark, d, "documents").where("text is not null"), 300)
 
@@ -599,25 +612,26 @@ def _(spark, d):
     return load(spark, d, "documents").where("text is not null").select("doc_id", F.length("text").alias("chars"), F.floor(F.length("text") / 4).alias("tokens"))
 
 
-def prose(spark, d: str) -> DataFrame:
+def prose(spark, d: str, *kept: str) -> DataFrame:
     """One paragraph per order, as the document operators meet them: value, correction, date, status."""
     o = load(spark, d, "orders")
     price = F.format_string("%.2f", "o_totalprice")
     start = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("PRICE was initially 1.0, later corrected to "), price)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("PRICE was "), price)).otherwise("PRICE was not available")
-    return o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(": "), start, F.lit(". Priority "), F.col("o_orderpriority"), F.lit(".")).alias("text"))
+    return o.select(*kept, F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(": "), start, F.lit(". Priority "), F.col("o_orderpriority"), F.lit(".")).alias("text"))
 
 
 _PRICE = "printf('%.2f', o_totalprice)"
 
 
-@query("prose_extract_numeric", f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN CAST({_PRICE} AS DOUBLE) ELSE CAST(o_orderpriority[1] AS DOUBLE) END AS value FROM orders")
+# The first number behind the label, and none in the two cases where only a priority's digit follows.
+@query("prose_extract_numeric", f"SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN CAST({_PRICE} AS DOUBLE) END AS value FROM orders")
 def _(spark, d):
-    return prose(spark, d).select("doc_id", D.numeric_after(F.col("text"), "PRICE").alias("value"))
+    return prose(spark, d).select("doc_id", P.number_after(F.col("text"), "PRICE").alias("value"))
 
 
 @query("prose_corrections", f"SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN CAST({_PRICE} AS DOUBLE) END AS value FROM orders")
 def _(spark, d):
-    return prose(spark, d).select("doc_id", D.corrected(F.col("text")).alias("value"))
+    return prose(spark, d).select("doc_id", P.corrected(F.col("text")).alias("value"))
 
 
 @query("prose_missing", "SELECT o_orderkey AS doc_id, o_orderkey % 3 = 2 AS absent FROM orders")
@@ -643,12 +657,10 @@ def _(spark, d):
     f"SELECT o_custkey AS record, coalesce(arg_min(v, k) FILTER (o_orderkey % 3 = 0), arg_max(v, k)) AS value FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN {_PRICE} END v, o_orderkey k FROM orders) WHERE v IS NOT NULL GROUP BY o_custkey",
 )
 def _(spark, d):
-    p = prose(spark, d).join(load(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("record")), "doc_id")
-    fixed = D.corrected(F.col("text"))
-    number = F.coalesce(fixed, D.numeric_after(F.col("text"), "PRICE"))
-    value = F.when(~D.missing_field(F.col("text"), "PRICE"), F.format_string("%.2f", number))
-    values = p.select("record", F.lit("price").alias("field"), value.alias("value"), F.lit("medium").alias("confidence"), fixed.isNotNull().alias("is_correction"), F.col("doc_id").alias("place"))
-    return merge.merge_by_confidence(values).select("record", "value")
+    p = prose(spark, d, "o_custkey").select(F.col("o_custkey").alias("doc_id"), F.col("doc_id").cast("int").alias("place"), "text")
+    values = P.read_paragraphs(p, [P.Field("PRICE")]).where("field = 'PRICE'")
+    same = values.select(F.col("doc_id").alias("record"), "field", "value", F.lit("medium").alias("confidence"), "is_correction", "place")
+    return merge.merge_by_confidence(same).select("record", "value")
 
 
 @query("prose_fields", "SELECT 'PRICE' AS field, count(*) AS n FROM orders WHERE o_orderkey % 3 = 1")

@@ -210,7 +210,12 @@ def _(spark, d):
     return load(spark, d, "step_record").select("step_id", repaired(F.col("raw_response")).alias("reply"))
 
 
-@query("doc_chunks")
+def _split_sql(separator: str, least: int) -> str:
+    cut = f"regexp_split_to_array(text, '{separator}')"
+    return f"SELECT doc_id, k, length(trim(v)) AS size FROM (SELECT doc_id, unnest({cut}) AS v, generate_subscripts({cut}, 1) AS k FROM documents WHERE text IS NOT NULL) WHERE length(trim(v)) >= {least}"
+
+
+@query("doc_chunks", core.packed_sql(_split_sql(r"\n\s*\n", 1), 4000, 15, "chars", "chunk"))
 def _(spark, d):
     return D.chunks(load(spark, d, "documents").where("text is not null"), 4000, 15)
 

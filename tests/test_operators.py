@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.operators import documents, graph, guards, merge, probes, profile, rules, scoring
+from tamarack.operators import documents, graph, guards, merge, probes, profile, prose, rules, scoring
 from tamarack.operators.rules import FilterTerm
 from tamarack.plans import inspect, planner
 
@@ -144,11 +144,11 @@ def test_documents(spark):
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     assert [(r["level"], r["heading"]) for r in documents.sections(docs).orderBy("section").collect()] == [(None, None), (2, "Head"), (3, "Sub")]
     assert [r["id"] for r in documents.ids(docs).collect()] == ["1234567"]
-    one = docs.where("doc_id = 1").select(documents.numeric_after(F.col("text"), "GLU").alias("g"), documents.missing_field(F.col("text"), "LDH").alias("m"), documents.missing_field(F.col("text"), "GLU", 5).alias("n")).first()
+    one = docs.where("doc_id = 1").select(prose.number_after(F.col("text"), "GLU").alias("g"), documents.missing_field(F.col("text"), "LDH").alias("m"), documents.missing_field(F.col("text"), "GLU", 5).alias("n")).first()
     assert tuple(one) == (5.5, True, False)
     forms = ["initially 3.1; corrected to 4.5", "3 was amended to 4", "adjusted from 5 to 6", "suggested 7 but verification confirmed 8", "transcribed as 9; definitive analysis confirmed 10", "nothing"]
     df = spark.createDataFrame([(f,) for f in forms], "t string")
-    assert [r[0] for r in df.select(documents.corrected(F.col("t"))).collect()] == [4.5, 4, 6, 8, 10, None]
+    assert [r[0] for r in df.select(prose.corrected(F.col("t"))).collect()] == [4.5, 4, 6, 8, 10, None]
     dates = spark.createDataFrame([(d,) for d in ["on 2004-03-05", "March 5, 2004", "5 March 2004", "the fifth of March, 2004", "no date", "31 February 2004"]], "t string")
     assert [str(r[0]) for r in dates.select(documents.prose_date(F.col("t"))).collect()] == ["2004-03-05"] * 4 + ["None"] * 2
     vocabulary = spark.createDataFrame([("a dark red cape",), ("none",)], "t string")
