@@ -1,25 +1,33 @@
-"""Subject areas of documents, by labels propagated over the graph of documents that share passages.
-
-A passage is a sentence reduced to the terms that two documents or more share; two documents
-are linked by every passage and, through it, every term they have in common,
-and the link is verified: it is equality, not likeness. The graph stays in its factored form,
-document - passage - term, so no pair of documents is ever written. A round of
-propagation joins labels to passages, passages to terms, and the terms' verdicts
-back to passages and documents. Seeds vote for the subjects readers gave them,
-from the second round on as far as the graph bears them out, and are not clamped
-in the output; documents keep several subjects, each with its share of the text.
+"""Subject areas of documents, by labels propagated over a verified graph of like passages.
+
+A passage is a sentence as the set of its terms. Two passages are linked when
+at least four fifths of the larger one's terms are in both, and the link is
+verified: passages meet at a hub, and a hub is what is left of a set when one
+term is taken out, or, of ten terms or more, the rarest and one more. Whoever
+has the same hub has all of its terms in common, so equality of hubs proves the
+share, and no pair is ever written: the graph keeps its factored form, document
+- passage - hub - passage - document. Links whose two sides differ in two terms
+each of which neither is the rarest are the ones not met; a test measures them
+against all pairs.
+
+A round of propagation joins the documents' subjects to passages, these to
+hubs, and the verdicts of the hubs that tell a subject back to passages and
+documents. Trusted seeds are clamped: labels by readers of which the graph finds
+at least a little in the text keep their full weight in every round and stand in
+the result. Documents keep several subjects, each with its share of the text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.keys import is_known
@@ -28,57 +36,64 @@ from tamarack.llm.words import plain
 from tamarack.session import broadcast_if_small, load, materialise, spread
 
 LANGUAGES = ("en", "de", "es", "zh")
-ROUNDS = 4
+ROUNDS = 3
 #: A subject counts from this share of a document's text on.
 SUBJECT_SHARE = 0.25
-#: A seed's subject is trusted when the graph finds at least this share of it.
-TRUSTED_SHARE = 0.1
-#: Part of the information a term of its subject could carry that it must carry, if that is less than INFORMATION.
+#: A seed's label is trusted when the graph finds at least this share of it; a share below FAINT gives a document without label no vote.
+TRUSTED_SHARE, FAINT = 0.1, 0.05
+#: Linked passages share four terms of five: one may differ from five terms on, two from ten on.
+ONE_DIFFERS, TWO_DIFFER = 5, 10
+#: Part of the information a hub of its subject could carry that it must carry, if that is less than INFORMATION.
 INFORMED = 0.3
-#: Smoothing of a term's subject counts; the information in nats a term must carry; a passage's least score and lead.
+#: Smoothing of a hub's subject counts; the information in nats a hub must carry; a passage's least score and lead.
 SMOOTHING, INFORMATION, LEAST_SCORE, LEAST_LEAD = 0.4, 0.6, 0.5, 0.5
+#: Rows of two or three numbers that may be broadcast after they were counted, and rows with a number per subject: 60 MB at most.
+NARROW_ROWS, SUBJECT_ROWS = 1_000_000, 250_000
 
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n+|(?<=[。！？；])")
 _TERM = re.compile(r"[一-鿿]+|(?:(?![一-鿿])[^\W\d_])+")
+#: Chinese function characters, between which content words stand.
+FUNCTION_CHARACTERS = "的了是在和与及或不没有于为以之其到第才也就都而但却从向对由把被让使这那此每各个些着过得地里上下中前后很更最已曾将会能可要还再又且如若因所比等几一"
+_FUNCTION = re.compile(f"[{FUNCTION_CHARACTERS}]+")
+
+
+def terms_of(sentence: str) -> set[str]:
+    """Words of two letters or more; of Chinese, what stands between function characters."""
+    out: set[str] = set()
+    for w in _TERM.findall(sentence):
+        if "一" <= w[0] <= "鿿":
+            out.update(x for x in _FUNCTION.split(w) if x)
+        elif len(w) > 1:
+            out.add(w)
+    return out
 
 
 def passages(text: str | None) -> tuple[int, list[tuple[frozenset[str], int]]]:
-    """(language, sentences): the terms of each sentence and its length; Chinese terms are pairs of characters."""
+    """(language, sentences): the terms of each sentence and its length."""
     whole = plain(text or "")
     found = language(whole)[0]
     lang = LANGUAGES.index(found) if found in LANGUAGES else 0
-    out = []
-    for s in _SENTENCE.split(whole):
-        s = s.strip()
-        if s:
-            terms: set[str] = set()
-            for w in _TERM.findall(s):
-                if "一" <= w[0] <= "鿿":
-                    terms.update(w[i : i + 2] for i in range(len(w) - 1))
-                elif len(w) > 1:
-                    terms.add(w)
-            out.append((frozenset(terms), len(s)))
-    return lang, out
+    return lang, [(frozenset(terms_of(s)), len(s)) for part in _SENTENCE.split(whole) if (s := part.strip())]
 
 
 def sentences(documents: DataFrame) -> DataFrame:
-    """What one pass over the texts finds, as rows of three kinds.
+    """What one pass over the texts finds, as rows of two kinds.
 
-    doc_id, lang: every document. doc_id, sentence, share, lang, terms: its
-    sentences with their share of its text; terms only where a task first meets
-    a sentence. term, docs: a term and how many documents of a batch have it.
-    A term's number is a hash of its language and itself, so none is given out.
+    doc_id, lang: every document. doc_id, lang, passage, share, terms: its
+    passages with their share of its text; terms only where a task first meets
+    a passage. A term's number is a hash of its language and itself, a
+    passage's all its terms' numbers xored, so none is given out.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         numbers: dict[tuple[int, str], int] = {}
         for batch in batches:
-            rows, seen = [], Counter()
+            rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 lang, parts = passages(text)
                 total = sum(n for _, n in parts) or 1
-                rows.append((doc, lang, None, None, None, None, None))
+                rows.append((doc, lang, None, None, None))
                 shares: dict[tuple[int, ...], float] = {}
                 for terms, n in parts:
                     for t in terms:
@@ -88,54 +103,75 @@ def sentences(documents: DataFrame) -> DataFrame:
                     shares[key] = shares.get(key, 0.0) + n / total
                 for key, share in shares.items():
                     if key:
-                        h = xxhash.xxh3_64_intdigest(np.array(key, np.int64).tobytes()) - 2**63
-                        rows.append((doc, lang, h, share, None if h in known else key, None, None))
+                        h = reduce(xor, key)
+                        rows.append((doc, lang, h, share, None if h in known else key))
                         known.add(h)
-                seen.update({k for key in shares for k in key})
                 if len(known) > 500_000:
                     known.clear()  # met again, its terms are only written again
                 if len(numbers) > 500_000:
                     numbers.clear()
-            rows += [(None, None, None, None, None, k, n) for k, n in seen.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    names = ["doc_id", "lang", "passage", "share", "terms"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.float32(), pa.list_(pa.int64())]
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(read, "doc_id bigint, lang int, passage bigint, share float, terms array<bigint>")
+
+
+def hubs_of(passage: Column, terms: Column, rare: Column) -> Column:
+    """The hubs of a passage: itself, and what is left of it as far as four fifths of its terms remain."""
+    size = F.size(terms)
+    one = F.transform(terms, lambda t: passage.bitwiseXOR(t))
+    two = F.transform(terms, lambda t: F.when(t == rare, passage.bitwiseXOR(rare)).otherwise(passage.bitwiseXOR(rare).bitwiseXOR(t)))
+    less = F.when(size >= TWO_DIFFER, two).when(size >= ONE_DIFFERS, one).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.array(passage), less)
 
-    names = ["doc_id", "lang", "sentence", "share", "terms", "term", "docs"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(read, "doc_id bigint, lang int, sentence bigint, share double, terms array<bigint>, term bigint, docs bigint")
+
+def passage_hubs(spelled: DataFrame) -> DataFrame:
+    """passage, lang, hub: every passage with itself and with each hub that another passage has too.
+
+    spelled: passage, lang, terms, one row per passage. The rarest term is the
+    one that fewest passages have, the smaller number of equals.
+    """
+    each = spelled.select("passage", F.explode("terms").alias("term"))
+    counts = broadcast_if_small(materialise(each.groupBy("term").agg(F.count("*").alias("n"))), limit=NARROW_ROWS)
+    rare = each.join(counts, "term").groupBy("passage").agg(F.min(F.struct("n", "term"))["term"].alias("rare"))
+    rows = spelled.join(rare, "passage").select("passage", "lang", F.explode(hubs_of(F.col("passage"), F.col("terms"), F.col("rare"))).alias("hub"))
+    rows = materialise(rows)
+    shared = broadcast_if_small(materialise(rows.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")), limit=NARROW_ROWS)
+    met = rows.where("hub <> passage").join(shared, "hub", "left_semi")
+    return met.select("passage", "lang", "hub").unionByName(rows.where("hub = passage"))
 
 
 def passage_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, lang), (doc_id, passage, share) and (passage, lang, term): documents, their passages with their share of the text, and every term of a passage that two documents share."""
+    """(doc_id, lang), (doc_id, passage, share) and (passage, lang, hub): documents, their passages with their share of the text, and the hubs at which passages meet."""
     read = materialise(sentences(documents))
-    linking = broadcast_if_small(materialise(read.where("term is not null").groupBy("term").agg(F.sum("docs").alias("docs")).where("docs > 1").select("term")))
-    spelled = read.where("terms is not null").groupBy("sentence").agg(F.first("lang").alias("lang"), F.first("terms").alias("terms"))
-    reduced = spelled.select("sentence", "lang", F.explode("terms").alias("term")).join(linking, "term").groupBy("sentence", "lang").agg(F.sort_array(F.collect_list("term")).alias("terms"))
-    reduced = materialise(reduced.withColumn("passage", F.xxhash64("terms")))
-    edges = materialise(read.where("sentence is not null").select("doc_id", "sentence", "share").join(reduced.select("sentence", "passage"), "sentence").groupBy("doc_id", "passage").agg(F.sum("share").alias("share")))
-    terms = materialise(reduced.groupBy("passage").agg(F.first("lang").alias("lang"), F.first("terms").alias("terms")).select("passage", "lang", F.explode("terms").alias("term")))
-    return read.where("doc_id is not null and sentence is null").select("doc_id", "lang"), edges, terms
+    spelled = materialise(read.where("terms is not null").groupBy("passage").agg(F.first("lang").alias("lang"), F.first("terms").alias("terms")))
+    return read.where("passage is null").select("doc_id", "lang"), read.where("passage is not null").select("doc_id", "passage", "share"), materialise(passage_hubs(spelled))
 
 
 def _priors(spoken: DataFrame, beliefs: DataFrame, subjects: list[str]) -> DataFrame:
     """lang, prior: the share of each subject in the beliefs of a language's documents; a row for each language."""
     base = np.full((len(LANGUAGES), len(subjects)), 1.0)
-    column = {s: k for k, s in enumerate(subjects)}
     for r in spoken.join(beliefs, "doc_id").groupBy("lang", "subject").agg(F.sum("weight").alias("weight")).collect():
-        base[r["lang"], column[r["subject"]]] += r["weight"]
+        base[r["lang"], r["subject"]] += r["weight"]
     base /= base.sum(1, keepdims=True)
     return spoken.sparkSession.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(base)], "lang int, prior array<double>")
 
 
-def _scores(votes: DataFrame, terms: DataFrame, priors: DataFrame, subjects: list[str]) -> DataFrame:
-    """term, lift: per informative term that votes (passage, subject, weight) reach its lift of each subject over the subject's share in the term's language."""
-    own = F.array(*(F.sum(F.when(F.col("subject") == s, F.col("weight")).otherwise(0.0)) for s in subjects))
-    counted = terms.join(votes, "passage").groupBy("term", "lang").agg(own.alias("own"), F.sum("weight").alias("all")).join(F.broadcast(priors), "lang")
+def _lifts(votes: DataFrame, hubs: DataFrame, priors: DataFrame, count: int) -> DataFrame:
+    """hub, lift: per hub that tells a subject, its lift of each subject over the subject's share in the hub's language.
+
+    votes: passage, subject, weight.
+    """
+    own = F.array(*(F.sum(F.when(F.col("subject") == k, F.col("weight")).otherwise(0.0)) for k in range(count)))
+    counted = hubs.join(votes, "passage").groupBy("hub", "lang").agg(own.alias("own"), F.sum("weight").alias("all")).join(F.broadcast(priors), "lang")
     p = counted.withColumn("p", F.zip_with("own", "prior", lambda o, b: (o + SMOOTHING * b) / (F.col("all") + SMOOTHING)))
     lifted = p.withColumn("lift", F.zip_with("p", "prior", lambda x, b: F.log(x / b)))
-    # A frequent subject leaves less to be told: the bound is at most INFORMED of what its terms could tell.
+    # A frequent subject leaves less to be told: the bound is at most INFORMED of what its hubs could tell.
     top = F.element_at("prior", F.array_position("lift", F.array_max("lift")).cast("int"))
     told = F.aggregate(F.zip_with("p", "lift", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return lifted.where(told > F.least(F.lit(INFORMATION), -INFORMED * F.log(top))).select("term", "lift")
+    return lifted.where(told > F.least(F.lit(INFORMATION), -INFORMED * F.log(top))).select("hub", F.col("lift").cast("array<float>").alias("lift"))
 
 
 def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> DataFrame:
@@ -143,33 +179,39 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str],
 
     documents: doc_id, text; labels: doc_id, subject_id as readers gave them,
     repeats and wrong ones among them; labels of unknown documents or subjects
-    are ignored. Without subjects there is nothing to tell. Documents that are empty, or whose passages tell no subject,
-    have no rows. Without labels there are none.
+    are ignored. A trusted label has a share of SUBJECT_SHARE at least. Without
+    subjects there is nothing to tell. Documents that are empty, or whose
+    passages tell no subject, have no rows. Without labels there are none.
+    doc_id is unique.
     """
     spark = documents.sparkSession
     if not subjects:
         return spark.createDataFrame([], "doc_id bigint, subject_id string, share double")
-    spoken, edges, terms = passage_graph(documents)
-    seeds = materialise(labels.where(is_known(F.col("subject_id"))).select("doc_id", F.lower(F.trim("subject_id")).alias("subject")).where(F.col("subject").isin(*subjects)).distinct())
-    seeded = seeds.select("doc_id").distinct()
+    spoken, edges, hubs = passage_graph(documents)
     count = len(subjects)
+    number = F.array_position(F.array(*(F.lit(s) for s in subjects)), F.lower(F.trim("subject_id"))).cast("int") - 1
+    seeds = materialise(labels.where(is_known(F.col("subject_id"))).select("doc_id", number.alias("subject")).where("subject >= 0 and doc_id is not null").distinct())
+    of_document = seeds.groupBy("doc_id").agg((1.0 / F.count("*")).alias("weight"))
 
-    beliefs = seeds.join(seeds.groupBy("doc_id").agg((1 / F.count("*")).alias("weight")), "doc_id")
+    beliefs = seeds.join(of_document, "doc_id")
     for n in range(rounds):
-        votes = edges.join(beliefs, "doc_id").groupBy("passage", "subject").agg(F.sum("weight").alias("weight"))
-        scores = broadcast_if_small(materialise(_scores(votes, terms, _priors(spoken, beliefs, subjects), subjects)))
-        summed = terms.join(scores, "term").groupBy("passage").agg(*(F.sum(F.col("lift")[k]).alias(f"s{k}") for k in range(count)))
-        ranked = F.sort_array(F.array(*(F.struct(F.col(f"s{k}").alias("score"), F.lit(s).alias("subject")) for k, s in enumerate(subjects))), asc=False)
+        votes = edges.join(broadcast_if_small(materialise(beliefs), limit=NARROW_ROWS), "doc_id").groupBy("passage", "subject").agg(F.sum("weight").alias("weight"))
+        lifts = broadcast_if_small(materialise(_lifts(votes, hubs, _priors(spoken, beliefs, subjects), count)), limit=SUBJECT_ROWS)
+        summed = hubs.join(lifts, "hub").groupBy("passage").agg(*(F.sum(F.col("lift")[k]).alias(f"s{k}") for k in range(count)))
+        ranked = F.sort_array(F.array(*(F.struct(F.col(f"s{k}").alias("score"), F.lit(k).alias("subject")) for k in range(count))), asc=False)
         told = summed.select("passage", ranked.alias("r")).where((F.col("r")[0]["score"] > LEAST_SCORE) & (F.col("r")[0]["score"] - F.coalesce(F.try_element_at("r", F.lit(2))["score"], F.lit(-1e9)) > LEAST_LEAD))
-        # A passage that a third of all documents have makes one large group of edges; adaptive execution splits it.
-        shares = edges.join(told.select("passage", F.col("r")[0]["subject"].alias("subject")), "passage").groupBy("doc_id", "subject").agg(F.sum("share").alias("share"))
-        shares = materialise(shares)
+        told = broadcast_if_small(materialise(told.select("passage", F.col("r")[0]["subject"].alias("subject"))), limit=NARROW_ROWS)
+        # A passage that a third of all documents have makes one large group of edges only in the shuffle join; adaptive execution splits it.
+        shares = materialise(edges.join(told, "passage").groupBy("doc_id", "subject").agg(F.sum(F.col("share").cast("double")).alias("share")))
+        trusted = materialise(shares.where(F.col("share") >= TRUSTED_SHARE).join(seeds, ["doc_id", "subject"], "left_semi").select("doc_id", "subject"))
         if n < rounds - 1:
-            free = shares.join(seeded, "doc_id", "left_anti").where("share >= 0.05")
-            held = shares.where(F.col("share") >= TRUSTED_SHARE).join(seeds, ["doc_id", "subject"], "left_semi")
-            believed = free.unionByName(held)
-            beliefs = believed.join(believed.groupBy("doc_id").agg(F.sum("share").alias("all")), "doc_id").select("doc_id", "subject", (F.col("share") / F.col("all")).alias("weight"))
-    return shares.withColumnRenamed("subject", "subject_id")
+            clamped = trusted.join(trusted.groupBy("doc_id").agg((1.0 / F.count("*")).alias("weight")), "doc_id")
+            free = shares.where(F.col("share") >= FAINT).join(trusted, "doc_id", "left_anti")
+            free = free.join(free.groupBy("doc_id").agg(F.sum("share").alias("all")), "doc_id").select("doc_id", "subject", (F.col("share") / F.col("all")).alias("weight"))
+            beliefs = materialise(clamped.unionByName(free))
+    marked = shares.join(trusted.withColumn("trusted", F.lit(True)), ["doc_id", "subject"], "left")
+    share = F.when(F.coalesce("trusted", F.lit(False)), F.greatest("share", F.lit(SUBJECT_SHARE))).otherwise(F.col("share"))
+    return marked.select("doc_id", F.array(*(F.lit(s) for s in subjects))[F.col("subject")].alias("subject_id"), share.alias("share"))
 
 
 def shares_of(spark, sf_dir: str) -> DataFrame:

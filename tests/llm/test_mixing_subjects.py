@@ -133,6 +133,79 @@ def test_subjects_from_few_seeds(spark):
     assert {r["subject_id"] for r in total} == set(names) and sum(r["share"] for r in total) <= 1.000001
 
 
+def test_hubs_prove_four_fifths():
+    """Sets that meet at a hub share four fifths of the larger one's terms; those that differ in one term always meet."""
+    rng = random.Random(3)
+    numbers = [rng.getrandbits(62) for _ in range(40)]
+
+    def hubs(terms, rare):
+        whole = 0
+        for t in terms:
+            whole ^= t
+        if len(terms) >= 10:
+            return {whole, whole ^ rare, *(whole ^ rare ^ t for t in terms if t != rare)}
+        return {whole, *(whole ^ t for t in terms)} if len(terms) >= 5 else {whole}
+
+    met = 0
+    for _ in range(4000):
+        a = set(rng.sample(numbers, rng.randint(3, 14)))
+        b = set(a)
+        for t in rng.sample(sorted(a), min(len(a), rng.randint(0, 2))):
+            b.remove(t)
+            if rng.random() < 0.8:
+                b.add(rng.choice(numbers))
+        if not b:
+            continue
+        meet = bool(hubs(a, min(a)) & hubs(b, min(b)))
+        share = len(a & b) / max(len(a), len(b))
+        met += meet
+        assert not meet or share >= 0.8
+        if len(a - b) <= 1 and len(b - a) <= 1 and share >= 0.8:
+            assert meet
+    assert met > 500
+
+
+def test_links_against_all_pairs(spark, sf):
+    """Of all pairs of passages that share four fifths of the larger one's terms, at least nine tenths meet at a hub, and no others."""
+    from tamarack.session import load
+
+    docs = load(spark, sf.replace("sf0.001", "sf0.01"), "documents")
+    read = subjects.sentences(docs).where("terms is not null").select("passage", "lang", "terms").dropDuplicates(["passage"])
+    spelled = read.collect()
+    found = subjects.passage_hubs(spark.createDataFrame(spelled, read.schema)).where("hub is not null").collect()
+    at: dict[int, list[int]] = {}
+    for r in found:
+        at.setdefault(r["hub"], []).append(r["passage"])
+    place = {r["passage"]: k for k, r in enumerate(spelled)}
+    meet = np.zeros((len(spelled), len(spelled)), bool)
+    for members in at.values():
+        rows = np.array([place[m] for m in members])
+        meet[np.ix_(rows, rows)] = True
+    words = {t: k for k, t in enumerate(sorted({t for r in spelled for t in r["terms"]}))}
+    held = np.zeros((len(spelled), len(words)), np.float32)
+    for k, r in enumerate(spelled):
+        held[k, [words[t] for t in r["terms"]]] = 1
+    size = held.sum(1)
+    linked = both = wrong = 0
+    for k in range(0, len(spelled), 500):
+        like = held[k : k + 500] @ held.T >= 0.8 * np.maximum(size[k : k + 500, None], size[None, :]) - 1e-4
+        like[np.arange(len(like)), np.arange(k, k + len(like))] = False
+        own = meet[k : k + 500].copy()
+        own[np.arange(len(own)), np.arange(k, k + len(own))] = False
+        linked, both, wrong = linked + like.sum(), both + (like & own).sum(), wrong + (own & ~like).sum()
+    assert wrong == 0 and both >= 0.9 * linked
+
+
+def test_trusted_seeds_are_clamped(spark):
+    """A label stands when the graph finds a tenth of it; a label that nothing bears out does not."""
+    rng = random.Random(6)
+    docs = [(i, text(rng, "law" if i % 2 else "sport", 6)) for i in range(300)] + [(1000, text(rng, "sport", 9) + " " + text(rng, "law", 2)), (1001, text(rng, "sport", 9))]
+    labels = [(i, "law" if i % 2 else "sport") for i in range(0, 300, 7)] + [(1000, "sport"), (1000, "law"), (1001, "law")]
+    shares = subjects.subject_shares(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject_id string"), list(AREAS))
+    got = {(r["doc_id"], r["subject_id"]) for r in subjects.document_subjects(shares).where("doc_id >= 1000").collect()}
+    assert got == {(1000, "sport"), (1000, "law"), (1001, "sport")}
+
+
 def test_subject_of_few_documents(spark):
     """A subject with less than 0.2 % of a language's documents is told by the terms that its few documents share."""
     rng = random.Random(5)
