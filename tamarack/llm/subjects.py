@@ -12,7 +12,8 @@ against all pairs.
 
 A round of propagation joins the documents' subjects to passages, these to
 hubs, and the verdicts of the hubs that tell a subject back to passages and
-documents. Trusted seeds are clamped: labels by readers of which the graph finds
+documents. Only a passage that no hub tells is told by its words, where two or
+more of them agree. Trusted seeds are clamped: labels by readers of which the graph finds
 at least a little in the text keep their full weight in every round and stand in
 the result. Documents keep several subjects, each with its share of the text.
 """
@@ -36,7 +37,7 @@ from tamarack.llm.words import plain
 from tamarack.session import broadcast_if_small, load, materialise, spread
 
 LANGUAGES = ("en", "de", "es", "zh")
-ROUNDS = 3
+ROUNDS = 2
 #: A subject counts from this share of a document's text on.
 SUBJECT_SHARE = 0.25
 #: A seed's label is trusted when the graph finds at least this share of it; a share below FAINT gives a document without label no vote.
@@ -48,7 +49,9 @@ INFORMED = 0.3
 #: Smoothing of a hub's subject counts; the information in nats a hub must carry; a passage's least score and lead.
 SMOOTHING, INFORMATION, LEAST_SCORE, LEAST_LEAD = 0.4, 0.6, 0.5, 0.5
 #: Rows of two or three numbers that may be broadcast after they were counted, and rows with a number per subject: 60 MB at most.
-NARROW_ROWS, SUBJECT_ROWS = 1_000_000, 250_000
+NARROW_ROWS, SUBJECT_ROWS = 1_000_000, 500_000
+#: A passage that no hub tells needs so many terms that tell the same subject.
+AGREEING_TERMS = 2
 
 _SENTENCE = re.compile(r"(?<=[.!?;:])\s+|\n+|(?<=[。！？；])")
 _TERM = re.compile(r"[一-鿿]+|(?:(?![一-鿿])[^\W\d_])+")
@@ -143,11 +146,11 @@ def passage_hubs(spelled: DataFrame) -> DataFrame:
     return met.select("passage", "lang", "hub").unionByName(rows.where("hub = passage"))
 
 
-def passage_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, lang), (doc_id, passage, share) and (passage, lang, hub): documents, their passages with their share of the text, and the hubs at which passages meet."""
+def passage_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, lang), (doc_id, passage, share), (passage, lang, hub) and (passage, lang, terms): documents, their passages with their share of the text, the hubs at which passages meet, and the passages' terms."""
     read = materialise(sentences(documents))
     spelled = materialise(read.where("terms is not null").groupBy("passage").agg(F.first("lang").alias("lang"), F.first("terms").alias("terms")))
-    return read.where("passage is null").select("doc_id", "lang"), read.where("passage is not null").select("doc_id", "passage", "share"), materialise(passage_hubs(spelled))
+    return read.where("passage is null").select("doc_id", "lang"), read.where("passage is not null").select("doc_id", "passage", "share"), materialise(passage_hubs(spelled)), spelled
 
 
 def _priors(spoken: DataFrame, beliefs: DataFrame, subjects: list[str]) -> DataFrame:
@@ -159,14 +162,12 @@ def _priors(spoken: DataFrame, beliefs: DataFrame, subjects: list[str]) -> DataF
     return spoken.sparkSession.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(base)], "lang int, prior array<double>")
 
 
-def _lifts(votes: DataFrame, hubs: DataFrame, priors: DataFrame, count: int) -> DataFrame:
-    """hub, lift: per hub that tells a subject, its lift of each subject over the subject's share in the hub's language.
+def _lifts(counted: DataFrame, priors: DataFrame) -> DataFrame:
+    """hub, lift: per hub (or term) that tells a subject, its lift of each subject over the subject's share in its language.
 
-    votes: passage, subject, weight.
+    counted: hub, lang, own (votes by subject), all.
     """
-    own = F.array(*(F.sum(F.when(F.col("subject") == k, F.col("weight")).otherwise(0.0)) for k in range(count)))
-    counted = hubs.join(votes, "passage").groupBy("hub", "lang").agg(own.alias("own"), F.sum("weight").alias("all")).join(F.broadcast(priors), "lang")
-    p = counted.withColumn("p", F.zip_with("own", "prior", lambda o, b: (o + SMOOTHING * b) / (F.col("all") + SMOOTHING)))
+    p = counted.join(F.broadcast(priors), "lang").withColumn("p", F.zip_with("own", "prior", lambda o, b: (o + SMOOTHING * b) / (F.col("all") + SMOOTHING)))
     lifted = p.withColumn("lift", F.zip_with("p", "prior", lambda x, b: F.log(x / b)))
     # A frequent subject leaves less to be told: the bound is at most INFORMED of what its hubs could tell.
     top = F.element_at("prior", F.array_position("lift", F.array_max("lift")).cast("int"))
@@ -174,6 +175,38 @@ def _lifts(votes: DataFrame, hubs: DataFrame, priors: DataFrame, count: int) ->
     return lifted.where(told > F.least(F.lit(INFORMATION), -INFORMED * F.log(top))).select("hub", F.col("lift").cast("array<float>").alias("lift"))
 
 
+def _own(count: int) -> list[Column]:
+    """Votes by subject and in all, of rows with subject and weight."""
+    return [F.array(*(F.sum(F.when(F.col("subject") == k, F.col("weight")).otherwise(0.0)) for k in range(count))).alias("own"), F.sum("weight").alias("all")]
+
+
+def _top(summed: DataFrame, count: int) -> DataFrame:
+    """Adds subject to rows of s0, s1, ...: the one that leads; rows where none leads clearly are left out."""
+    ranked = F.sort_array(F.array(*(F.struct(F.col(f"s{k}").alias("score"), F.lit(k).alias("subject")) for k in range(count))), asc=False)
+    clear = (F.col("r")[0]["score"] > LEAST_SCORE) & (F.col("r")[0]["score"] - F.coalesce(F.try_element_at("r", F.lit(2))["score"], F.lit(-1e9)) > LEAST_LEAD)
+    return summed.withColumn("r", ranked).where(clear).withColumn("subject", F.col("r")[0]["subject"]).drop("r")
+
+
+def told_passages(votes: DataFrame, hubs: DataFrame, spelled: DataFrame, priors: DataFrame, count: int) -> DataFrame:
+    """passage, subject of every passage whose hubs, or else two terms or more that agree, tell its subject.
+
+    votes: passage, subject, weight.
+    """
+    sums = [F.sum(F.col("lift")[k]).alias(f"s{k}") for k in range(count)]
+    lifts = broadcast_if_small(materialise(_lifts(hubs.join(votes, "passage").groupBy("hub", "lang").agg(*_own(count)), priors)), limit=SUBJECT_ROWS)
+    told = materialise(_top(hubs.join(lifts, "hub").groupBy("passage").agg(*sums), count).select("passage", "subject"))
+    voted = spelled.where(F.size("terms") >= AGREEING_TERMS).join(votes, "passage").select("passage", F.explode("terms").alias("hub"), "lang", "subject", "weight")
+    # A term that one passage alone has would only repeat what that passage's documents believe.
+    spoken = voted.groupBy("hub", "lang").agg(*_own(count), F.min("passage").alias("a"), F.max("passage").alias("b")).where("a <> b")
+    words = broadcast_if_small(materialise(_lifts(spoken, priors)), limit=SUBJECT_ROWS)
+    untold = spelled.where(F.size("terms") >= AGREEING_TERMS).join(broadcast_if_small(told, limit=NARROW_ROWS), "passage", "left_anti").select("passage", F.explode("terms").alias("hub"))
+    top = F.array_position("lift", F.array_max("lift")).cast("int") - 1
+    agreeing = [F.sum(F.when(top == k, 1).otherwise(0)).alias(f"n{k}") for k in range(count)]
+    said = _top(untold.join(words, "hub").groupBy("passage").agg(*sums, *agreeing), count)
+    agree = F.array(*(F.col(f"n{k}") for k in range(count)))[F.col("subject")] >= AGREEING_TERMS
+    return materialise(told.unionByName(said.where(agree).select("passage", "subject")))
+
+
 def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = ROUNDS) -> DataFrame:
     """doc_id, subject_id, share: the share of each document's text that treats each subject.
 
@@ -187,7 +220,7 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str],
     spark = documents.sparkSession
     if not subjects:
         return spark.createDataFrame([], "doc_id bigint, subject_id string, share double")
-    spoken, edges, hubs = passage_graph(documents)
+    spoken, edges, hubs, spelled = passage_graph(documents)
     count = len(subjects)
     number = F.array_position(F.array(*(F.lit(s) for s in subjects)), F.lower(F.trim("subject_id"))).cast("int") - 1
     seeds = materialise(labels.where(is_known(F.col("subject_id"))).select("doc_id", number.alias("subject")).where("subject >= 0 and doc_id is not null").distinct())
@@ -196,11 +229,8 @@ def subject_shares(documents: DataFrame, labels: DataFrame, subjects: list[str],
     beliefs = seeds.join(of_document, "doc_id")
     for n in range(rounds):
         votes = edges.join(broadcast_if_small(materialise(beliefs), limit=NARROW_ROWS), "doc_id").groupBy("passage", "subject").agg(F.sum("weight").alias("weight"))
-        lifts = broadcast_if_small(materialise(_lifts(votes, hubs, _priors(spoken, beliefs, subjects), count)), limit=SUBJECT_ROWS)
-        summed = hubs.join(lifts, "hub").groupBy("passage").agg(*(F.sum(F.col("lift")[k]).alias(f"s{k}") for k in range(count)))
-        ranked = F.sort_array(F.array(*(F.struct(F.col(f"s{k}").alias("score"), F.lit(k).alias("subject")) for k in range(count))), asc=False)
-        told = summed.select("passage", ranked.alias("r")).where((F.col("r")[0]["score"] > LEAST_SCORE) & (F.col("r")[0]["score"] - F.coalesce(F.try_element_at("r", F.lit(2))["score"], F.lit(-1e9)) > LEAST_LEAD))
-        told = broadcast_if_small(materialise(told.select("passage", F.col("r")[0]["subject"].alias("subject"))), limit=NARROW_ROWS)
+        votes = broadcast_if_small(materialise(votes), limit=NARROW_ROWS)
+        told = broadcast_if_small(told_passages(votes, hubs, spelled, _priors(spoken, beliefs, subjects), count), limit=NARROW_ROWS)
         # A passage that a third of all documents have makes one large group of edges only in the shuffle join; adaptive execution splits it.
         shares = materialise(edges.join(told, "passage").groupBy("doc_id", "subject").agg(F.sum(F.col("share").cast("double")).alias("share")))
         trusted = materialise(shares.where(F.col("share") >= TRUSTED_SHARE).join(seeds, ["doc_id", "subject"], "left_semi").select("doc_id", "subject"))
