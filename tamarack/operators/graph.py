@@ -7,6 +7,7 @@ column or pair of columns.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.operators.profile import is_numeric, is_text
+from tamarack.session import materialise
 
 SAMPLE_KEYS = 50
 
@@ -30,21 +32,23 @@ def shared_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
 
 
 def name_tokens(name: str) -> frozenset[str]:
-    """Words of a name: camel case and marks part, a table's one- or two-letter prefix goes."""
-    name = re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name)
-    return frozenset(w for w in re.split(r"[^A-Za-z0-9]+", re.sub(r"^[a-z]{1,2}_(?=[a-z])", "", name).lower()) if w)
+    """Words of two letters or more in a name: camel case, underscores and blanks part them."""
+    return frozenset(w for w in re.split(r"[_\s]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()) if len(w) >= 2)
 
 
 def name_similarity(a: str, type_a: str, b: str, type_b: str) -> float:
-    """1 for the same name; else the overlap of the words, 0.1 for the same type and 0.3 (0.4 at most) for words that share five letters."""
+    """1 for the same name; else the share of common words, with a tenth more for the same type; 0.3 a word (0.4 at most) where no word is common but words of five letters begin alike; 0 below a half otherwise."""
+    x, y = name_tokens(a), name_tokens(b)
+    if not x or not y:
+        return 0.0
     if a.lower() == b.lower():
         return 1.0
-    x, y = name_tokens(a), name_tokens(b)
-    score = len(x & y) / len(x | y) if x | y else 0.0
-    if score and type_a == type_b:
-        score += 0.1
-    stems = sum(0.3 for u in x - y for v in y - x if len(u) >= 5 and len(v) >= 5 and u[:5] == v[:5])
-    return round(min(1.0, score + min(0.4, stems)), 6)
+    shared = len(x & y) / len(x | y)
+    if not shared:
+        stems = sum(any(min(len(u), len(v)) >= 5 and (u.startswith(v) or v.startswith(u)) for v in y) for u in x)
+        return min(0.3 * stems, 0.4)
+    total = min(1.0, shared + (0.1 if type_a.upper() == type_b.upper() else 0.0))
+    return round(total, 6) if shared >= 0.5 or total >= 0.5 else 0.0
 
 
 def column_similarity(spark: SparkSession, tables: dict[str, DataFrame], least: float = 0.5) -> DataFrame:
@@ -57,29 +61,52 @@ def column_similarity(spark: SparkSession, tables: dict[str, DataFrame], least:
     return spark.createDataFrame(rows, "left_table string, left_column string, right_table string, right_column string, similarity double")
 
 
-def uniqueness(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> dict[tuple[str, str], tuple[int, int, int]]:
-    """(rows, non-null, distinct) of columns; a table's columns share one pass."""
-    out = {}
+def _keys(spark: SparkSession, tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
+    """t, c, k, n: every distinct key, as text, of the named columns and how many rows have it; one scan per table, one shuffle for all."""
+    frames = []
     for t, names in columns.items():
         if names:
-            row = tables[t].agg(F.count("*"), *(x for c in names for x in (F.count(c), F.count_distinct(c)))).first()
-            for k, c in enumerate(names):
-                out[t, c] = (row[0], row[1 + 2 * k], row[2 + 2 * k])
-    return out
+            pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("k")) for c in names)))
+            frames.append(tables[t].select(F.lit(t).alias("t"), pairs.alias("p")).select("t", "p.c", "p.k"))
+    if not frames:
+        return spark.createDataFrame([], "t string, c string, k string, n bigint")
+    return reduce(DataFrame.unionByName, frames).groupBy("t", "c", "k").agg(F.count("*").alias("n"))
+
+
+def _facts(keys: DataFrame) -> dict[tuple[str, str], tuple[int, int, int]]:
+    """(rows, non-null, distinct) of each column."""
+    there = F.col("k").isNotNull()
+    rows = keys.groupBy("t", "c").agg(F.sum("n").alias("n"), F.sum(F.when(there, F.col("n")).otherwise(0)).alias("filled"), F.count("k").alias("different")).collect()
+    return {(r["t"], r["c"]): (r["n"], r["filled"], r["different"]) for r in rows}
+
+
+def uniqueness(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> dict[tuple[str, str], tuple[int, int, int]]:
+    """(rows, non-null, distinct) of columns, all in one pass; an empty table has zeros."""
+    spark = next(iter(tables.values())).sparkSession
+    return {(t, c): (0, 0, 0) for t, names in columns.items() for c in names} | _facts(_keys(spark, tables, columns))
 
 
 def overlap(source: DataFrame, key: str, target: DataFrame, ref: str, sample: int = SAMPLE_KEYS) -> DataFrame:
-    """sampled, found: of the smallest distinct keys, how many the other column has. The sample is what the probe asks for; foreign keys are decided by coverage()."""
+    """sampled, found: of the smallest distinct keys, how many the other column has. The sample is what the probe asks for; foreign keys are decided by coverages()."""
     keys = source.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(key).alias("o")).distinct().orderBy("o").limit(sample).select("k")
     refs = target.select(F.col(ref).cast("string").alias("k")).join(F.broadcast(keys), "k", "left_semi").distinct().withColumn("hit", F.lit(1))
     return keys.join(refs, "k", "left").agg(F.count("*").alias("sampled"), F.count("hit").alias("found"))
 
 
-def coverage(source: DataFrame, key: str, target: DataFrame, ref: str) -> DataFrame:
-    """keys, found: of all distinct keys, how many the other column has."""
-    keys = source.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k")).distinct()
-    refs = target.select(F.col(ref).cast("string").alias("k")).distinct().withColumn("hit", F.lit(1))
-    return keys.join(refs, "k", "left").agg(F.count("*").alias("keys"), F.count("hit").alias("found"))
+def coverages(keys: DataFrame, pairs: list[tuple[str, str, str, str]]) -> dict[tuple[str, str, str, str], float]:
+    """The share of all distinct keys of the first column that the second has, for every pair of columns; one job for all pairs.
+
+    keys: t, c, k of distinct keys; pairs: (table, column, table, column).
+    """
+    if not pairs:
+        return {}
+    spark = keys.sparkSession
+    sides = [(n, *p[:2], 1) for n, p in enumerate(pairs)] + [(n, *p[2:], 2) for n, p in enumerate(pairs)]
+    wanted = spark.createDataFrame(sides, "pair int, t string, c string, side int")  # two rows per pair of columns
+    met = keys.where("k is not null").join(F.broadcast(wanted), ["t", "c"]).groupBy("pair", "k").agg(F.bit_or("side").alias("sides"))
+    rows = met.groupBy("pair").agg(F.count_if(F.col("sides") != 2).alias("keys"), F.count_if(F.col("sides") == 3).alias("found")).collect()
+    shares = {r["pair"]: r["found"] / r["keys"] if r["keys"] else 0.0 for r in rows}
+    return {p: shares.get(n, 0.0) for n, p in enumerate(pairs)}
 
 
 def _joinable(name: str) -> bool:
@@ -100,38 +127,47 @@ def _names_table(stem: str, table: str) -> bool:
     return bool(stem) and (stem in forms or any(len(stem) >= 3 and f.startswith(stem) for f in forms))
 
 
-def foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], min_overlap: float = 0.9) -> DataFrame:
+def foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], min_overlap: float = 0.9, involving: set[str] | None = None) -> DataFrame:
     """source_table, source_column, target_table, target_column, overlap, cardinality of the foreign keys that names and values agree on.
 
     A column named after another table (prefix, suffix and shortening aside)
     is tried against that table's own unique key; the referenced side must be
     unique to nine tenths, and of all distinct keys min_overlap must be there. A named candidate
     excludes unnamed ones, which are not tried at all: columns of small
-    integers overlap without meaning anything.
+    integers overlap without meaning anything. The distinct keys of all columns
+    are counted once and written; facts and overlaps are two aggregates of them.
+    involving: only edges that begin or end at one of these tables.
     """
-    keys = {t: [f.name for f in df.schema if _joinable(f.name)] for t, df in tables.items()}
+    names = {t: [f.name for f in df.schema if _joinable(f.name)] for t, df in tables.items()}
     # Only tables that some column of another table names are asked for a key, and only columns that may be it are counted.
-    wanted = {u: [c for c in keys[u] if _names_table(_stem(c), u)] or keys[u] for u in tables if any(t != u and (_names_table(_stem(c), u) or c in keys[u]) for t in tables for c in keys[t])}
-    facts = uniqueness(tables, wanted)
-    primary = {u: c for u, names in wanted.items() if (c := next((c for c in names if facts[u, c][2] >= 0.9 * max(1, facts[u, c][0])), None))}
-    found = []
-    for t, names in keys.items():
-        for c in names:
+    wanted = {u: [c for c in names[u] if _names_table(_stem(c), u)] or names[u] for u in tables if any(t != u and (_names_table(_stem(c), u) or c in names[u]) for t in tables for c in names[t])}
+    tried = {t: [c for c in cs if any(u != t and (c.lower() in {r.lower() for r in wanted[u]} or _names_table(_stem(c), u)) for u in wanted)] for t, cs in names.items()}
+    keys = materialise(_keys(spark, tables, {t: sorted({*wanted.get(t, []), *tried[t]}) for t in tables}))
+    facts = _facts(keys)
+    fact = lambda t, c: facts.get((t, c), (0, 0, 0))
+    primary = {u: c for u, cs in wanted.items() if (c := next((c for c in cs if fact(u, c)[2] >= 0.9 * max(1, fact(u, c)[0])), None))}
+    candidates = []
+    for t, cs in tried.items():
+        for c in cs:
             for u, ref in primary.items():
                 same = c.lower() == ref.lower()
                 if u == t or not (same or _names_table(_stem(c), u) and _names_table(_stem(ref), u)):
                     continue
-                if same and c == primary.get(t) and facts[t, c][2] > facts[u, ref][2]:
+                if same and c == primary.get(t) and fact(t, c)[2] > fact(u, ref)[2]:
                     continue  # the larger side is the one referred to
-                row = coverage(tables[t], c, tables[u], ref).first()
-                share = row["found"] / row["keys"] if row["keys"] else 0.0
-                if share >= min_overlap:
-                    found.append((t, c, u, ref, round(share, 4)))
-    facts |= uniqueness(tables, {t: sorted({c for x, c, *_ in found if x == t and (t, c) not in facts}) for t in tables})
-    rows = [(*f, cardinality(facts[f[0], f[1]], facts[f[2], f[3]])) for f in sorted(set(found))]
+                if involving is None or involving & {t, u}:
+                    candidates.append((t, c, u, ref))
+    found = {p: share for p, share in coverages(keys, candidates).items() if share >= min_overlap}
+    rows = [(*p, round(share, 4), cardinality(fact(*p[:2]), fact(*p[2:]))) for p, share in sorted(found.items())]
     return spark.createDataFrame(rows, "source_table string, source_column string, target_table string, target_column string, overlap double, cardinality string")
 
 
+def extend_foreign_keys(spark: SparkSession, tables: dict[str, DataFrame], known: DataFrame, new: dict[str, DataFrame]) -> DataFrame:
+    """The foreign keys after new tables arrived: known edges stay, and only pairs with a new table are tried."""
+    added = {t: df for t, df in new.items() if t not in tables}
+    return known.unionByName(foreign_keys(spark, tables | added, involving=set(added))).distinct() if added else known
+
+
 def cardinality(source: tuple[int, int, int], target: tuple[int, int, int]) -> str:
     one = lambda f: f[2] >= f[1] > 0
     return f"{'one' if one(source) else 'many'}-to-{'one' if one(target) else 'many'}"
@@ -144,12 +180,14 @@ def table_roles(spark: SparkSession, tables: dict[str, DataFrame], edges: DataFr
     time, few rows; fact: refers to tables and has measures; else dimension.
     """
     links = [tuple(r) for r in edges.select("source_table", "source_column", "target_table", "target_column").distinct().collect()]
+    counted = reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n") for t, df in tables.items())) if tables else None
+    sizes = {r["t"]: r["n"] for r in counted.collect()} if tables else {}
     rows = []
     for t, df in tables.items():
         used = {c for a, c, _, _ in links if a == t} | {c for _, _, b, c in links if b == t}
         measures = [f.name for f in df.schema if is_numeric(df, f.name) and f.name not in used and not _joinable(f.name)]
         timed = any(isinstance(f.dataType, T.TimestampType | T.TimestampNTZType | T.DateType) or re.search(r"date|time|year|month", f.name.lower()) for f in df.schema)
-        out, into, n = len({c for a, c, _, _ in links if a == t}), len({a for a, _, b, _ in links if b == t}), df.count()
+        out, into, n = len({c for a, c, _, _ in links if a == t}), len({a for a, _, b, _ in links if b == t}), sizes[t]
         if out >= 2 and not measures:
             role = "bridge"
         elif measures and timed and n < 500:

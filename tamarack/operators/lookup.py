@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.operators.profile import is_text
@@ -92,13 +92,25 @@ def resolve_keys(df: DataFrame, column: str, lookup: DataFrame, key: str, name:
     return df.withColumn("__t", text).join(keys, "__t", "left").join(names, "__t", "left").withColumn(f"{column}_key", F.coalesce("__by_key", "__by_name")).drop("__t", "__by_key", "__by_name")
 
 
-def resolve_contained(df: DataFrame, column: str, names: dict[str, object], most: int = 2000) -> DataFrame:
-    """Adds <column>_key by the longest name a text contains; names is a looked-up dictionary of at most most entries."""
-    if len(names) > most:
-        raise ValueError("too many names for a contained match")
-    text = F.lower(F.col(column))
-    hits = F.filter(F.array(*(F.when(F.contains(text, F.lit(n.lower())), F.struct(F.lit(-len(n)).alias("less"), F.lit(str(k)).alias("k"))) for n, k in sorted(names.items()))), lambda x: x.isNotNull())
-    return df.withColumn(f"{column}_key", F.array_min(hits)["k"])
+def resolve_contained(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """Adds <column>_key: the key of the longest name a text contains whole, case aside; ties go to the smaller name.
+
+    names: key, name, any number of them. Names and texts meet by the runs of
+    words they have: a join on equality, of which the longest run is bounded by
+    the longest name. Texts that contain no name get null.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    known = names.select(F.array_join(words(F.col("name")), " ").alias("__run"), F.size(words(F.col("name"))).alias("__n"), F.col("key").cast("string").alias("__k")).where("__run <> '' and __k is not null")
+    known = known.groupBy("__run", "__n").agg(F.min("__k").alias("__k"))
+    longest = known.agg(F.max("__n")).first()[0] or 0
+    if not longest:
+        return df.withColumn(f"{column}_key", F.lit(None).cast("string"))
+    texts = df.select(F.col(column).alias("__t")).where("__t is not null").distinct().withColumn("__w", words(F.col("__t")))
+    starts = F.sequence(F.lit(1), F.size("__w"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("__w") - i + 1)), lambda n: F.array_join(F.slice("__w", i, n), " "))))
+    met = texts.where(F.size("__w") > 0).select("__t", F.explode(F.array_distinct(runs)).alias("__run")).join(known, "__run")
+    best = met.groupBy("__t").agg(F.min(F.struct((-F.length("__run")).alias("less"), "__run", "__k"))["__k"].alias(f"{column}_key"))
+    return df.withColumn("__t", F.col(column)).join(best, "__t", "left").drop("__t")
 
 
 def ambiguous_columns(columns: DataFrame) -> DataFrame:
@@ -140,12 +152,17 @@ def _joined_mentions(values: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("value", "doc_id").distinct().groupBy("value").agg(F.count("*").alias("documents"))
 
 
-def paragraphs_for(docs: DataFrame, question: str, best: int = 5) -> DataFrame:
-    """doc_id, place, hits of the paragraphs that hold most words of a question; ties by document and place."""
+def paragraph_hits(docs: DataFrame, question: str) -> DataFrame:
+    """doc_id, place, hits of the paragraphs that hold any word of three letters or more of a question."""
     words = sorted({w for w in re.findall(r"\w{3,}", question.lower())})
     parts = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("place", "paragraph"))
     hits = reduce(lambda a, b: a + b, (F.when(F.contains(F.lower("paragraph"), F.lit(w)), 1).otherwise(0) for w in words), F.lit(0))
-    return parts.withColumn("hits", hits).where("hits > 0").orderBy(F.desc("hits"), "doc_id", "place").limit(best).select("doc_id", "place", "hits")
+    return parts.select("doc_id", "place", hits.alias("hits")).where("hits > 0")
+
+
+def paragraphs_for(docs: DataFrame, question: str, best: int = 5) -> DataFrame:
+    """doc_id, place, hits of the paragraphs that hold most words of a question; ties by document and place."""
+    return paragraph_hits(docs, question).orderBy(F.desc("hits"), "doc_id", "place").limit(best)
 
 
 def alias_candidates(df: DataFrame) -> DataFrame:
@@ -170,7 +187,28 @@ def semantic_type(name: str, kind: str, cardinality: float) -> str:
 
 
 def best_paragraph_per_document(docs: DataFrame, question: str) -> DataFrame:
-    """The first paragraph of each document among those with most hits."""
-    hits = paragraphs_for(docs, question, best=2**31 - 1)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("hits"), "place"))
-    return hits.withColumn("k", place).where("k = 1").drop("k")
+    """doc_id, place, hits: the first paragraph of each document among those with most hits; one aggregate, no order of the corpus."""
+    best = paragraph_hits(docs, question).groupBy("doc_id").agg(F.max(F.struct("hits", (-F.col("place")).alias("less"))).alias("b"))
+    return best.select("doc_id", (-F.col("b.less")).alias("place"), "b.hits")
+
+
+def zero_row_hints(tables: dict[str, DataFrame], table: str, column: str, value: str, edges: list[tuple[str, str, str, str]] = (), most: int = 10) -> DataFrame:
+    """kind, place, candidate, n: what an equality that kept no rows may have meant.
+
+    elsewhere: columns of other tables that hold the value; case, part, prefix:
+    stored values of the column (see empty_filter_hints()); sample: its
+    commonest values where nothing else was found; related: name columns of the
+    tables its table refers to. Hints are for people: most of each kind.
+    """
+    spark = tables[table].sparkSession
+    place = f"{table}.{column}"
+    there = find_value(tables, value).where((F.col("exact") > 0) & (F.concat_ws(".", "table_name", "column_name") != place))
+    elsewhere = there.select(F.lit("elsewhere").alias("kind"), F.concat_ws(".", "table_name", "column_name").alias("place"), F.lit(value).alias("candidate"), F.col("exact").alias("n"))
+    near = empty_filter_hints(tables[table], column, value, most).select(F.col("reason").alias("kind"), F.lit(place).alias("place"), "candidate", "n")
+    c = F.col(column).cast("string")
+    common = tables[table].where(c.isNotNull()).groupBy(c.alias("candidate")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "candidate").limit(most)
+    sample = common.select(F.lit("sample").alias("kind"), F.lit(place).alias("place"), "candidate", "n")
+    names = [(t, n) for a, _, t, _ in edges if a == table for n in tables[t].columns if re.search(r"name|title|label", n.lower())]
+    related = spark.createDataFrame([("related", f"{t}.{n}", "", 0) for t, n in names], "kind string, place string, candidate string, n bigint")
+    found = elsewhere.unionByName(near)
+    return (sample if found.isEmpty() else found).unionByName(related)

@@ -6,7 +6,8 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Weights of the parts of an approach.
@@ -67,3 +68,18 @@ def similarity(a: Approach, b: Approach) -> float:
 def similar(approaches: dict[str, Approach], wanted: Approach, least: float = 0.5) -> list[tuple[float, str]]:
     """(similarity, name) above least, best first."""
     return sorted(((s, n) for n, a in approaches.items() if (s := similarity(a, wanted)) > least), key=lambda x: (-x[0], x[1]))
+
+
+def save_facts(facts: DataFrame, folder: str, fingerprint_: str) -> None:
+    """Writes the facts of one schema to its partition of a folder on any file system; the others stay."""
+    facts.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/fingerprint={fingerprint_}")
+
+
+def load_facts(spark: SparkSession, folder: str, fingerprint_: str) -> DataFrame | None:
+    """The facts of a schema, or None where none were saved."""
+    try:
+        return spark.read.parquet(f"{folder.rstrip('/')}/fingerprint={fingerprint_}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

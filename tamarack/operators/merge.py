@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,30 @@ def best_merge_target(ids: DataFrame, key: str, tables: dict[str, tuple[DataFram
         if total and hits / total > least:
             good.append((len(df.columns), name))
     return min(good)[1] if good else None
+
+
+def detect_id_key(df: DataFrame, candidates: list[str], least: float = 0.5) -> str | None:
+    """The first candidate column that more than half of the rows fill, counted in one pass over all of them."""
+    there = [c for c in candidates if c in df.columns]
+    if not there:
+        return None
+    row = df.agg(F.count("*").alias("n"), *(F.count_if(filled(c)).alias(f"k{i}") for i, c in enumerate(there))).first()
+    return next((c for i, c in enumerate(there) if row["n"] and row[f"k{i}"] > least * row["n"]), None)
+
+
+def merge_case_variants(df: DataFrame) -> DataFrame:
+    """Columns whose names differ only in case become one, under the first spelling: the first filled value of each row."""
+    groups: dict[str, list[int]] = {}
+    for i, c in enumerate(df.columns):
+        groups.setdefault(c.lower(), []).append(i)
+    placed = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    pick = lambda at: F.coalesce(*(F.when(filled(f"c{i}"), F.col(f"c{i}")) for i in at)) if len(at) > 1 else F.col(f"c{at[0]}")
+    return placed.select(*(pick(at).alias(df.columns[at[0]]) for at in groups.values()))
+
+
+def records_table(pieces: DataFrame, key: str, order: str, least: float = 0.1) -> DataFrame:
+    """A table of records from pieces: the last filled value of each column, columns filled in less than a tenth of the records dropped, records with nothing but their id left out."""
+    merged = merge_last_filled(pieces, key, order)
+    kept = drop_rare_columns(merged, least, (key,))
+    others = [c for c in kept.columns if c != key]
+    return kept.where(reduce(lambda a, b: a | b, (filled(c) for c in others), F.lit(False)))

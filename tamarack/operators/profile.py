@@ -138,6 +138,32 @@ def fences(quartiles: dict[str, float]) -> tuple[float, float]:
     return round(low, 4), round(high, 4)
 
 
+def approximate_fences(low: float, high: float, mean: float) -> tuple[float, float]:
+    """Fences without order statistics: a quarter of the range stands for the quartile distance, the mean for the middle."""
+    quarter = (high - low) / 4
+    return mean - 2.5 * quarter, mean + 2.5 * quarter
+
+
+def linear_percentile(low: float, high: float, percent: float, top: bool = True) -> float:
+    """The threshold of the top (or bottom) percent if values lay evenly between the extremes, to 2 places."""
+    part = percent / 100
+    return round(low + (high - low) * (1 - part if top else part), 2)
+
+
+def extremes(df: DataFrame, column: str) -> tuple[float | None, float | None, float | None]:
+    """(least, largest, mean) of a column in one pass; None without values."""
+    row = df.agg(F.min(column).cast("double"), F.max(column).cast("double"), F.avg(column)).first()
+    return row[0], row[1], row[2]
+
+
+def null_shares(df: DataFrame, sparse: float = 0.7) -> DataFrame:
+    """column_name, filled, null_ratio (4 places), sparse: how many rows have a value, and whether most have none; an empty table has ratio 0."""
+    row = df.agg(F.count("*").alias("__rows"), *(F.count(c).alias(c) for c in df.columns))
+    x = row.select("__rows", F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in df.columns))).alias("x"))
+    ratio = F.when(F.col("__rows") > 0, 1 - F.col("x.filled") / F.col("__rows")).otherwise(0.0)
+    return x.select("x.column_name", "x.filled", F.round(ratio, 4).alias("null_ratio"), (ratio > sparse).alias("sparse"))
+
+
 def range_validation(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """inside, below, above, useful: useful when 5 % < inside < 99 % and something lies outside."""
     c = F.col(column)

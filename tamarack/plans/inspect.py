@@ -30,13 +30,23 @@ def has_cross_join(df: DataFrame) -> bool:
     return bool(re.search(r"^[\s:+-]*Join (?:Cross|Inner)\s*(?:, (?:left|right)Hint=.*)?$", optimized(df), re.M))
 
 
+def _closes(text: str) -> int:
+    """Where the bracket that a text begins with closes."""
+    depth = 0
+    for k, ch in enumerate(text):
+        depth += {"(": 1, ")": -1}.get(ch, 0)
+        if depth == 0:
+            return k
+    return -1
+
+
 def conjuncts(df: DataFrame) -> list[str]:
     """The conditions of the outermost filter, split at AND, attribute ids taken off."""
     m = re.search(r"^[\s:+-]*Filter (.*)$", analyzed(df), re.M)
     if not m:
         return []
     text, parts, depth, at, k = re.sub(r"#\d+L?", "", m[1]).strip(), [], 0, 0, 0
-    while text.startswith("(") and text.endswith(")"):
+    while text.startswith("(") and _closes(text) == len(text) - 1:
         text = text[1:-1]
     while k < len(text):
         depth += {"(": 1, ")": -1}.get(text[k], 0)
@@ -45,7 +55,66 @@ def conjuncts(df: DataFrame) -> list[str]:
             at = k = k + 5
             continue
         k += 1
-    return [p.strip().strip("()") for p in [*parts, text[at:]]]
+    bare = [p.strip() for p in [*parts, text[at:]]]
+    return [p[1:-1] if p.startswith("(") and _closes(p) == len(p) - 1 else p for p in bare]
+
+
+def order_and_limit(df: DataFrame) -> tuple[str, int | None]:
+    """(sort keys, limit) of the outermost order and limit of a plan; ("", None) where there are none."""
+    plan = analyzed(df)
+    order = re.search(r"^[\s:+-]*Sort \[(.*)\], (?:true|false)", plan, re.M)
+    limit = re.search(r"^[\s:+-]*GlobalLimit (\d+)", plan, re.M)
+    return re.sub(r"#\d+L?", "", order[1]) if order else "", int(limit[1]) if limit else None
+
+
+def quoted_sql(line: str) -> str | None:
+    """The SELECT statement in a line of Markdown: between backticks, or after its bullet or heading marks."""
+    ticked = re.search(r"`\s*(select\s[^`]*)`", line, re.I)
+    bare = re.match(r"[\s*#-]*(select\s.*)", line, re.I)
+    found = ticked or bare
+    return found[1].strip() if found else None
+
+
+def where_of(line: str) -> str | None:
+    """The conditions of the statement in a line of Markdown."""
+    m = re.search(r"\swhere\s+(.*?)(?:\s(?:order by|limit|group by)\s.*)?$", quoted_sql(line) or "", re.I | re.S)
+    return m[1].strip() or None if m else None
+
+
+def order_limit_of(line: str) -> str | None:
+    """The ORDER BY of the statement in a line of Markdown, and what follows it."""
+    m = re.search(r"\s(order by\s.*)$", quoted_sql(line) or "", re.I | re.S)
+    return m[1].strip() if m else None
+
+
+def output_origins(df: DataFrame) -> dict[str, str]:
+    """Output column -> the table or view it comes from, "" for computed ones; by attribute ids, so aliases in the statement do not matter."""
+    plan = analyzed(df)
+    ids: dict[str, str] = {}
+    alias: list[tuple[int, str]] = []
+    for line in plan.splitlines():
+        m = re.match(r"([\s:+-]*)(.*)", line)
+        depth, node = len(m[1]), m[2]
+        alias = [a for a in alias if a[0] < depth]
+        if n := re.match(r"SubqueryAlias (\S+)", node):
+            alias.append((depth, n[1].split(".")[-1].strip("`")))
+        elif alias:
+            for k in re.findall(r"\w+#(\d+)", node):
+                ids.setdefault(k, alias[-1][1])
+    first = next((x for x in plan.splitlines() if re.match(r"[\s:+-]*(?:Project|Aggregate)\b", x)), plan.splitlines()[0])
+    names = re.search(r"\[([^\[]*)\]\s*$", first)
+    out = {}
+    for part in re.split(r",\s*(?![^(]*\))", names[1]) if names else []:
+        m = re.search(r"(\w+)#(\d+)L?$", part.strip())
+        if m:
+            source = re.match(r"(\w+)#(\d+)L? AS ", part.strip())
+            out[m[1]] = ids.get(source[2] if source else m[2], "")
+    return out
+
+
+def join_columns(df: DataFrame) -> set[str]:
+    """Columns that the plan's joins compare."""
+    return {n for m in re.finditer(r"Join \w+, (.*)", analyzed(df)) for n in re.findall(r"(\w+)#\d+", m[1])}
 
 
 def is_query(spark: SparkSession, sql: str) -> bool:

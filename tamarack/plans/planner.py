@@ -7,6 +7,7 @@ left to Catalyst: a chain of equi-joins, one filter, one projection or aggregate
 from __future__ import annotations
 
 import heapq
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -144,25 +145,90 @@ def edges_of(foreign_keys: DataFrame) -> list[Edge]:
     return [Edge(r["source_table"], r["source_column"], r["target_table"], r["target_column"], r["overlap"]) for r in foreign_keys.collect()]
 
 
-def score_column(phrase: str, name: str, description: str = "", samples: tuple[str, ...] = ()) -> float:
-    """How well a phrase names a column: its name 10, parts of it up to 6, several words 3 more, description up to 5, a sample 8 or 5."""
-    p, n = phrase.lower().strip(), name.lower().replace("_", " ")
-    words = set(p.split())
-    score = 0.0
-    if p == n:
-        score += 10
-    elif p.replace(" ", "") == n.replace(" ", ""):
-        score += 8
-    else:
-        hits = words & set(n.split())
-        score += 6 * len(hits) / max(1, len(words)) + (3 if len(hits) > 1 else 0)
-    if description:
-        score += 5 * len(words & set(description.lower().split())) / max(1, len(words))
-    low = [s.lower() for s in samples]
-    return score + (8 if p in low else 5 if any(p in s or s in p for s in low if s) else 0)
-
-
-def map_phrase(phrase: str, columns: list[tuple[str, str, str, tuple[str, ...]]], best: int = 5) -> list[tuple[float, str, str]]:
-    """(score, table, column) of the best columns for a phrase; columns: table, name, description, samples."""
-    scored = [(round(score_column(phrase, c, d, s), 4), t, c) for t, c, d, s in columns]
-    return sorted((x for x in scored if x[0] > 0), key=lambda x: (-x[0], x[1], x[2]))[:best]
+def stem_overlap(a: set[str], b: set[str]) -> set[str]:
+    """Words of a that b has, or of which one begins with the other (three letters at least)."""
+    return {u for u in a if u in b or any(min(len(u), len(v)) >= 3 and (u.startswith(v) or v.startswith(u)) for v in b)}
+
+
+def score_column(phrase: str, name: str, description: str = "", samples: tuple[str, ...] = (), kind: str = "", distinct: int = 0, is_filter: bool = True) -> float:
+    """How well a phrase names a column.
+
+    Name: 10 where it contains the phrase, 8 where the phrase contains it, else
+    6 times the share of the phrase's words it has; 3 more for two words or
+    more of a longer name. Description: 1.5 a word, 5 at most. For filters also
+    the first sample equal (8) or contained (5), the type that suits (numbers 3,
+    text 2), and 1 each above 10 and 100 distinct values. Below 1 is 0.
+    """
+    p, n = phrase.lower().strip(), name.lower()
+    words, own = set(re.findall(r"[a-z]{2,}", p)), set(re.findall(r"[a-z]{2,}", n))
+    tight, bare = p.replace(" ", ""), re.sub(r"[ _()-]", "", n)
+    hits = stem_overlap(words, own)
+    score = 10.0 if p in n or tight in bare else 8.0 if n in p or bare in tight else 6.0 * len(hits) / max(1, len(words))
+    if len(own) > 1 and len(words) > 1 and len(hits) >= 2:
+        score += 3.0
+    score += min(1.5 * len(stem_overlap(words, set(re.findall(r"[a-z]{3,}", description.lower())))), 5.0)
+    if is_filter:
+        low = [s for s in (str(x).lower() for x in samples) if len(s) >= 3]
+        score += next((8.0 if p == s else 5.0 for s in low if p in s or s in p), 0.0)
+        numeric, text = kind in ("bigint", "int", "double", "float"), kind in ("string", "")
+        if re.fullmatch(r"[<>!=]*\s*\d+\.?\d*", p):
+            score += 3.0 if numeric else 0.0
+        else:
+            score += 2.0 if text else 0.0
+        score += (distinct > 10) + (distinct > 100)
+    return score if score >= 1 else 0.0
+
+
+@dataclass(frozen=True)
+class ColumnFacts:
+    """What the planner knows of a column."""
+
+    table: str
+    name: str
+    kind: str = ""
+    description: str = ""
+    samples: tuple[str, ...] = ()
+    distinct: int = 0
+
+
+def map_phrase(phrase: str, columns: list[ColumnFacts], best: int = 5, is_filter: bool = True, values: frozenset[tuple[str, str]] = frozenset(), similar: dict[tuple[str, str], dict[tuple[str, str], float]] | None = None) -> list[tuple[float, str, str]]:
+    """(score, table, column) of the best columns for a phrase.
+
+    values: (table, column) pairs whose value index holds the phrase, 8 more for
+    filters without an exact name. similar: columns like a column; half of its
+    score times the similarity goes to each.
+    """
+    scores: dict[tuple[str, str], float] = {}
+    for c in columns:
+        s = score_column(phrase, c.name, c.description, c.samples, c.kind, c.distinct, is_filter)
+        if is_filter and (c.table, c.name) in values and phrase.lower().strip() != c.name.lower():
+            s += 8.0
+        scores[c.table, c.name] = s
+    passed: dict[tuple[str, str], float] = {}
+    for at, near in (similar or {}).items():
+        for other, likeness in near.items():
+            if scores.get(at, 0) > 0:
+                passed[other] = max(passed.get(other, 0.0), scores[at] * likeness * 0.5)
+    for at, s in passed.items():
+        scores[at] = max(scores.get(at, 0.0), s)
+    ranked = sorted(((round(s, 4), t, c) for (t, c), s in scores.items() if s > 0), key=lambda x: (-x[0], x[1], x[2]))
+    return ranked[:best]
+
+
+def similarity_edges(edges: list[Edge], similar: list[tuple[str, str, str, str, float]]) -> list[Edge]:
+    """Weak edges, 0.4 of the similarity, between tables that no key links: a column's name without its suffix must stand in the other table's name, or hold it."""
+    linked = {frozenset((e.source, e.target)) for e in edges}
+    out = []
+    for t, a, u, b, likeness in similar:
+        stem = lambda c: re.sub(r"_?(?:id|key|code|no|num)$", "", c.lower()).replace("_", "")
+        names = lambda c, table: len(stem(c)) >= 3 and (stem(c) in table.lower() or table.lower() in stem(c))
+        if t != u and frozenset((t, u)) not in linked and (names(a, u) or names(b, t)):
+            out.append(Edge(t, a, u, b, likeness * 0.4))
+            linked.add(frozenset((t, u)))
+    return out
+
+
+def alternative_paths(edges: list[Edge], required: list[str], most: int = 3) -> list[list[Edge]]:
+    """The second and third best path of each pair of required tables, where there are any."""
+    pairs = [(a, b) for k, a in enumerate(required) for b in required[k + 1 :]]
+    return [p for a, b in pairs for p in all_paths(edges, a, b, most)[1:3]]

@@ -241,7 +241,23 @@ def _(spark, d):
     return graph.shared_columns(spark, {t: load(spark, d, t) for t in _DOMAIN})
 
 
-@query("column_similarity")
+_DATES = {"birthday", "first_date", "exam_date"}
+_TIMES = {"loaded_at", "deleted_at", "added_at", "labelled_at", "built_at"}
+_LONGS = {"lab_id", "doc_id", "n_chars", "unit_id"}
+_LAB_NUMBERS = set("got gpt ldh alp tp alb ua un cre t_bil glu wbc rbc hgb hct plt".split())
+_kind = lambda c: "date" if c in _DATES else "time" if c in _TIMES else "long" if c in _LONGS else "double" if c in _LAB_NUMBERS else "int" if c == "token_estimate" else "text"
+_COLUMN_ROWS = ", ".join(f"('{t}', '{c}', '{_kind(c)}')" for t, cs in _DOMAIN_COLUMNS.items() for c in cs.split())
+
+
+# Words of names; the same name is 1, common words by their share and a tenth for the same type, else words that begin alike.
+@query(
+    "column_similarity",
+    f"""WITH c(t, n, k) AS (VALUES {_COLUMN_ROWS}), w AS (SELECT *, list_filter(string_split(lower(n), '_'), lambda x: length(x) >= 2) AS ws FROM c),
+    p AS (SELECT a.t AS lt, a.n AS ln, b.t AS rt, b.n AS rn, lower(a.n) = lower(b.n) AS same, a.k = b.k AS kind, len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws))) AS j,
+      len(list_filter(a.ws, lambda u: len(list_filter(b.ws, lambda v: least(length(u), length(v)) >= 5 AND (starts_with(u, v) OR starts_with(v, u)))) > 0)) AS stems FROM w a JOIN w b ON a.t <> b.t AND (a.t, a.n) < (b.t, b.n) AND len(a.ws) > 0 AND len(b.ws) > 0),
+    s AS (SELECT *, CASE WHEN same THEN 1.0 WHEN j = 0 THEN least(0.3 * stems, 0.4) ELSE least(1.0, j + CASE WHEN kind THEN 0.1 ELSE 0 END) END AS v FROM p)
+    SELECT lt AS left_table, ln AS left_column, rt AS right_table, rn AS right_column, round(v, 6) AS similarity FROM s WHERE v >= 0.5""",
+)
 def _(spark, d):
     return graph.column_similarity(spark, {t: load(spark, d, t) for t in _DOMAIN})
 

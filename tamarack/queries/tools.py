@@ -36,9 +36,12 @@ def _(spark, d):
     return lookup.find_value({t: load(spark, d, t) for t in ("part", "region")}, "Steel")
 
 
-@query("map_value", "SELECT 'customer' AS table_name, 'c_mktsegment' AS column_name, 'exact' AS method, count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building' HAVING count(*) > 0")
+_MAPPED = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (lower({c}) = 'building') AS e, count(*) FILTER (contains(lower({c}), 'building')) AS p FROM {t}" for t, c in (("customer", "c_name"), ("customer", "c_mktsegment"), ("region", "r_name")))
+
+
+@query("map_value", f"SELECT table_name, column_name, CASE WHEN e > 0 THEN 'exact' ELSE 'like' END AS method, CASE WHEN e > 0 THEN e ELSE p END AS n FROM ({_MAPPED}) WHERE p > 0")
 def _(spark, d):
-    return lookup.map_value({t: load(spark, d, t).drop("c_name") for t in ("customer", "region")}, "building")
+    return lookup.map_value({t: load(spark, d, t) for t in ("customer", "region")}, "building")
 
 
 @query("empty_filter_hints", "SELECT c_mktsegment AS candidate, 'case' AS reason, count(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building' AND c_mktsegment <> 'building' GROUP BY 1 UNION ALL SELECT c_mktsegment, 'prefix', count(*) FROM customer WHERE starts_with(lower(c_mktsegment), 'buil') AND lower(c_mktsegment) <> 'building' GROUP BY 1")
@@ -64,7 +67,7 @@ def _(spark, d):
 @query("resolve_contained_names", "SELECT c_custkey, CAST(r_regionkey AS VARCHAR) AS note_key FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def _(spark, d):
     r = load(spark, d, "region")
-    names = {x["r_name"]: x["r_regionkey"] for x in r.collect()}
+    names = r.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
     c = load(spark, d, "customer").join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     noted = c.select("c_custkey", F.concat(F.lit("lives in "), F.col("r_name"), F.lit(" now")).alias("note"))
     return lookup.resolve_contained(noted, "note", names).select("c_custkey", "note_key")
@@ -100,11 +103,21 @@ def _(spark, d):
     return lookup.mentioned_values(load(spark, d, "relationships"), "source_id", load(spark, d, "documents"))
 
 
-@query("knowledge_paragraphs")
+_WORDS = ("thrombosis", "the", "patient", "and", "antibody", "titre")
+_HITS = " + ".join(f"CAST(contains(lower(p), '{w}') AS INTEGER)" for w in _WORDS)
+_PARAGRAPHS = rf"(SELECT doc_id, k - 1 AS place, {_HITS} AS hits FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) AS p, generate_subscripts(regexp_split_to_array(text, '\n\s*\n'), 1) AS k FROM documents WHERE text IS NOT NULL))"
+
+
+@query("knowledge_paragraphs", f"SELECT doc_id, place, hits FROM {_PARAGRAPHS} WHERE hits > 0 ORDER BY hits DESC, doc_id, place LIMIT 5")
 def _(spark, d):
     return lookup.paragraphs_for(load(spark, d, "documents").where("text is not null"), "thrombosis of the patient and the antibody titre")
 
 
+@query("best_paragraphs", f"SELECT doc_id, arg_max(place, (hits, -place)) AS place, max(hits) AS hits FROM {_PARAGRAPHS} WHERE hits > 0 GROUP BY doc_id")
+def _(spark, d):
+    return lookup.best_paragraph_per_document(load(spark, d, "documents").where("text is not null"), "thrombosis of the patient and the antibody titre")
+
+
 @query("alias_candidates", "SELECT 'event_status' AS column_name, count(DISTINCT event_status) AS distinct_values FROM club_event HAVING count(DISTINCT event_status) BETWEEN 2 AND 50 UNION ALL SELECT 'event_type', count(DISTINCT event_type) FROM club_event HAVING count(DISTINCT event_type) BETWEEN 2 AND 50")
 def _(spark, d):
     return lookup.alias_candidates(load(spark, d, "club_event").select("event_status", "event_type", "event_id"))
@@ -160,16 +173,27 @@ def _(spark, d):
     return _proposals(spark, [found] if found else [])
 
 
-@query("rule_normal_range", "SELECT 'normal_range' AS rule, 'glu =' AS original, 'glu >=,glu <=' AS repaired")
+@query("rule_normal_range", "SELECT column_name, op, CAST(bound AS DOUBLE) AS bound, (SELECT count(*) FILTER (glu BETWEEN 70 AND 110) FROM laboratory) AS inside FROM (VALUES ('glu', '>=', 70), ('glu', '<=', 110)) t(column_name, op, bound)")
 def _(spark, d):
-    found = rules.normal_range(load(spark, d, "laboratory"), "glu", True, "A normal GLU lies between 70 and 110.")
-    return _proposals(spark, [found] if found else [])
+    lab = load(spark, d, "laboratory")
+    found = rules.normal_range(lab, "glu", True, "A normal GLU lies between 70 and 110.")
+    inside = lab.where(rules.all_of([t.condition() for t in found.repaired])).count()
+    return spark.createDataFrame([(t.column, t.op, float(t.value), inside) for t in found.repaired], "column_name string, op string, bound double, inside bigint")
+
+
+# Without knowledge the range comes from the distribution; abnormal keeps the sides that have rows.
+@query("rule_abnormal_range", f"WITH {core._FENCES}, c AS (SELECT count(*) FILTER (glu < lo) AS b, count(*) FILTER (glu > hi) AS a FROM laboratory, f) SELECT '<' AS op, lo AS bound, b AS n FROM f, c WHERE b > 0 UNION ALL SELECT '>', hi, a FROM f, c WHERE a > 0")
+def _(spark, d):
+    lab = load(spark, d, "laboratory")
+    found = rules.normal_range(lab, "glu", False)
+    return spark.createDataFrame([(t.op, float(t.value), lab.where(t.condition()).count()) for t in (found.repaired if found else ())], "op string, bound double, n bigint")
 
 
-@query("guard_chain", "SELECT 'repeated' AS answer, 'duplicates' AS guard")
+@query("guard_chain", "SELECT 'repeated' AS answer, 'duplicates' AS guard WHERE (SELECT count(*) - count(DISTINCT n_regionkey) FROM nation) > 0 UNION ALL SELECT 'long', 'row_cap' WHERE (SELECT count(*) FROM customer) > 500 UNION ALL SELECT 'crossed', 'cross_join' UNION ALL SELECT 'empty', 'null_ratio' FROM (SELECT count(*) n, avg(CASE WHEN deleted_at IS NULL THEN 1.0 ELSE 0 END) r FROM (SELECT DISTINCT id, deleted_at FROM patient WHERE birthday >= DATE '2004-01-01')) WHERE n > 5 AND n <= 500 AND r > 0.8")
 def _(spark, d):
     n = load(spark, d, "nation")
-    answers = {"repeated": n.select("n_regionkey"), "sound": n.select("n_name")}
+    p = load(spark, d, "patient").where("birthday >= date'2004-01-01'").select("id", "deleted_at").distinct()
+    answers = {"repeated": n.select("n_regionkey"), "sound": n.select("n_name"), "long": load(spark, d, "customer").select("c_custkey"), "crossed": n.select("n_name").crossJoin(load(spark, d, "region").select("r_name")), "empty": p}
     return spark.createDataFrame([(a, o.guard) for a, df in answers.items() for o in guards.check(df)], "answer string, guard string")
 
 
@@ -220,10 +244,15 @@ def _(spark, d):
     return D.chunks(load(spark, d, "documents").where("text is not null"), 4000, 15)
 
 
-@query("doc_sample", "SELECT count(*) > 0 AS sampled FROM documents WHERE text IS NOT NULL")
+# The shortest and longest document, the one at the middle of the lengths, and five evenly spaced ids; of equal lengths the smallest id.
+@query(
+    "doc_sample",
+    """WITH t AS (SELECT doc_id, length(text) AS len FROM documents WHERE text IS NOT NULL), k AS (SELECT len, count(*) AS n, min(doc_id) AS f FROM t GROUP BY len), c AS (SELECT *, sum(n) OVER (ORDER BY len) AS upto, sum(n) OVER () AS total FROM k),
+    s AS (SELECT min(doc_id) AS lo, greatest(1, (max(doc_id) - min(doc_id) + 1) // 5) AS step FROM t),
+    w AS (SELECT arg_min(f, len) AS id FROM k UNION SELECT arg_max(f, len) FROM k UNION SELECT arg_min(f, len) FROM c WHERE 2 * upto >= total UNION SELECT lo + i * step FROM s, range(5) r(i)) SELECT doc_id FROM t WHERE doc_id IN (SELECT id FROM w)""",
+)
 def _(spark, d):
-    docs = load(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    return D.stratified_sample(docs, "text", "doc_id").agg((F.count("*") > 0).alias("sampled"))
+    return D.stratified_sample(load(spark, d, "documents").where("text is not null").select("doc_id", "text"), "text", "doc_id").select("doc_id")
 
 
 @query("doc_composite_ids", r"SELECT id, count(DISTINCT doc_id) AS parts FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:[0-9]{5,}|rec[A-Za-z0-9]{8,})\b')) AS id FROM documents WHERE text IS NOT NULL) GROUP BY id HAVING count(DISTINCT doc_id) >= 3")

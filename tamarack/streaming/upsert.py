@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,24 +26,36 @@ def values(folded: DataFrame, key: str) -> DataFrame:
     return folded.select(key, *(F.col(c)["v"].alias(c) for c in folded.columns if c != key))
 
 
-def run_upserts(spark: SparkSession, stream: DataFrame, key: str, order: str, folder: str) -> DataFrame:
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names below a folder of any file system Spark knows; none where it is missing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def run_upserts(spark: SparkSession, stream: DataFrame, key: str, order: str, folder: str, compact_after: int = 20) -> DataFrame:
     """Folds all that a stream has now into folder and returns the table.
 
-    Each batch writes a version of its own number from the version before it;
-    a replayed batch writes the same version again.
+    Each batch writes only its own fold, under its number; a replayed batch
+    writes the same fold again. The table is the fold of folds, and folding
+    twice changes nothing. After compact_after parts they are written as one,
+    under the number of the last of them, and the parts it holds are passed over.
     """
-    base = Path(folder)
+    base = folder.rstrip("/")
 
     def batch(df: DataFrame, number: int) -> None:
-        new = fold(df, key, order)
-        before = sorted(int(p.name.split("=")[1]) for p in base.glob("version=*") if int(p.name.split("=")[1]) < number and (p / "_SUCCESS").exists())
-        if before:
-            new = combine(df.sparkSession.read.parquet(str(base / f"version={before[-1]}")), new, key)
-        new.write.mode("overwrite").parquet(str(base / f"version={number}"))
+        fold(df, key, order).write.mode("overwrite").parquet(f"{base}/part={number}")
 
-    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", str(base / "checkpoint")).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max((int(p.name.split("=")[1]) for p in base.glob("version=*")), default=None)
-    if last is None:
+    named = lambda kind: sorted(int(n.split("=")[1]) for n in _children(spark, base) if n.startswith(f"{kind}=") and "_SUCCESS" in _children(spark, f"{base}/{n}"))
+    whole = named("whole")[-1:]
+    parts = [n for n in named("part") if not whole or n > whole[0]]
+    folds = [spark.read.parquet(f"{base}/{kind}={n}") for kind, ns in (("whole", whole), ("part", parts)) for n in ns]
+    if not folds:
         raise ValueError("the stream had no data")
-    return values(spark.read.parquet(str(base / f"version={last}")), key)
+    table = reduce(lambda a, b: combine(a, b, key), folds) if len(folds) > 1 else folds[0]
+    if len(parts) >= compact_after:
+        table.write.mode("overwrite").parquet(f"{base}/whole={parts[-1]}")
+        table = spark.read.parquet(f"{base}/whole={parts[-1]}")
+    return values(table, key)

@@ -66,7 +66,7 @@ def test_paths():
     assert planner.shortest_path(edges, "a", "zzz") is None
     with pytest.raises(ValueError):
         planner.steiner_path(edges, ["a", "zzz"])
-    assert planner.map_phrase("order price", [("t", "order_price", "", ()), ("t", "name", "", ("x",))])[0][2] == "order_price"
+    assert planner.map_phrase("order price", [planner.ColumnFacts("t", "order_price"), planner.ColumnFacts("t", "name", samples=("x",))])[0][2] == "order_price"
 
 
 def test_merging(spark):

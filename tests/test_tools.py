@@ -57,7 +57,7 @@ def test_lookup(spark):
         lookup.find_value({"d": df.select("k")}, "x")
     resolved = {r["t"]: r["t_key"] for r in lookup.resolve_keys(df.select("t"), "t", df, "k", "t").collect()}
     assert resolved == {"Alpha": 1, "007": 2, None: None, "alphabet": 4}
-    assert lookup.resolve_contained(df.select("t"), "t", {"alpha": 1, "alphabet": 4}).where("t = 'alphabet'").first()["t_key"] == "4"
+    assert lookup.resolve_contained(df.select("t"), "t", spark.createDataFrame([(1, "alpha"), (4, "alphabet")], "key int, name string")).where("t = 'alphabet'").first()["t_key"] == "4"
     assert lookup.mentioned_values(df.limit(0), "t", df.select(F.col("k").alias("doc_id"), F.col("t").alias("text"))).count() == 0
     assert lookup.semantic_type("o_custkey", "bigint", 0.1) == "measure" and lookup.semantic_type("note", "string", 0.95) == "free_text"
 
