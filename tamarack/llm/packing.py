@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from tamarack.session import load
 
 CHARS_PER_TOKEN = 4
-#: Blocks in which the rows of one length are ranked side by side.
-RANK_BLOCKS = 32
+#: Rows of one length that are ranked in one task, about, and the fewest blocks of a length.
+BLOCK_ROWS, LEAST_BLOCKS = 250_000, 32
+#: Ranks of one length that meet their steps in one group where the steps are not broadcast.
+BUCKET_RANKS = 1_000_000
 #: Plans of at most this many steps are broadcast; one step holds five integers.
 BROADCAST_STEPS = 100_000
 
@@ -94,13 +96,13 @@ def to_items(units: DataFrame, capacity: int) -> DataFrame:
     return pieces.select("unit_id", "piece", start.alias("start"), chars.alias("chars"), F.floor(chars / CHARS_PER_TOKEN).cast("int").alias("tokens"))
 
 
-def ranked(items: DataFrame, length: str, *order: str) -> DataFrame:
+def ranked(items: DataFrame, length: str, *order: str, blocks: int = LEAST_BLOCKS) -> DataFrame:
     """Adds rank: the row's place, from 0, among the rows of its length.
 
     Rows are ranked within blocks of a hash, so a length that a third of all
-    rows have is spread over RANK_BLOCKS tasks.
+    rows have is spread over so many tasks.
     """
-    blocked = items.withColumn("block", F.pmod(F.xxhash64(*order), F.lit(RANK_BLOCKS)).cast("int"))
+    blocked = items.withColumn("block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
     offsets = blocked.groupBy(length, "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy(length).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select(length, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -123,9 +125,16 @@ def pack(units: DataFrame, capacity: int = 3000) -> tuple[DataFrame, dict[str, f
     totals = {"requests": requests, "tokens": tokens, "least": -(-tokens // capacity), "unused_share": 1 - tokens / (requests * capacity) if requests else 0.0}
     spark = units.sparkSession
     slots = spark.createDataFrame([(s.length, s.first, s.first + s.count, s.container, s.each) for s in steps], "tokens int, first long, last long, container long, each long")
+    # As many blocks as the commonest length needs.
+    blocks = max(LEAST_BLOCKS, max(histogram.values(), default=0) // BLOCK_ROWS)
+    rows = ranked(items, "tokens", "unit_id", "piece", blocks=blocks)
     if len(steps) <= BROADCAST_STEPS:
-        slots = F.broadcast(slots)
-    placed = ranked(items, "tokens", "unit_id", "piece").join(slots, "tokens").where("rank >= first and rank < last")
+        met = rows.join(F.broadcast(slots), "tokens")
+    else:
+        bucket = lambda c: F.floor(c / BUCKET_RANKS).cast("bigint")
+        spread_out = slots.withColumn("bucket", F.explode(F.sequence(bucket(F.col("first")), bucket(F.col("last") - 1))))
+        met = rows.withColumn("bucket", bucket(F.col("rank"))).join(spread_out, ["tokens", "bucket"])
+    placed = met.where("rank >= first and rank < last")
     request = (F.col("container") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("bigint")
     return placed.select(request.alias("request_id"), "unit_id", "piece", "start", "chars", "tokens"), totals
 

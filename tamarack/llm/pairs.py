@@ -23,11 +23,17 @@ from pyspark.sql import functions as F
 
 from tamarack.session import broadcast_if_small, load, materialise, spread
 
-#: Words of a terminal context.
+#: Words of a terminal context; marks behind them that do not count.
 CONTEXT_WORDS = 3
+TRAILING = r"[\"'”’»)\]*_`\s]+$"
 
-#: Function words by language.
+#: Function words by language, from the stop-word lists of the Snowball stemmer project.
 FUNCTION_WORDS = {
+    "en": "i me my we our you your he him his she her it its they them their what which who this that these those am is are was were be been being have has had having do does did doing would should could a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very",
+    "de": "aber alle als also am an ander andere anderen auch auf aus bei bin bis bist da damit dann das daß dass dein dem den der des dessen dich die dies diese dieser dieses dir doch dort du durch ein eine einem einen einer eines einig einige er es etwas euch euer für gegen hab habe haben hat hatte hatten hier hin hinter ich ihm ihn ihnen ihr ihre im in indem ins ist jede jedem jeden jeder jedes jene jetzt kann kein keine können könnte machen man manche mein mich mir mit muss musste nach nicht nichts noch nun nur ob oder ohne sehr sein seine selbst sich sie sind so solche soll sollte sondern sonst um und uns unter viel vom von vor war waren was weg weil weiter welche wenn werde werden wie wieder will wir wird wirst wo wollen wollte würde würden zu zum zur zwar zwischen über",
+    "es": "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o fue este ha sí porque esta son entre está cuando muy sin sobre ser tiene también me hasta hay donde han quien están desde todo nos durante todos uno les ni contra otros ese eso había ante ellos e esto mí antes algunos qué unos yo otro otras otra él tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo nosotros era eran fueron es",
+}
+_WORDS = {
     "en": "the of and to in is are was were be been it its this that these those with for from on at by as not no an or but which what how there their has have had does did so if then than into after before between one only all each here where when while about because out up same keeps rows column table",
     "de": "der die das den dem des ein eine einen einem einer und oder aber nicht kein keine ist sind war waren wird werden wurde wurden hat haben mit für von vom zu zum zur im in am an auf aus bei nach über unter vor es sie er wir ich sich auch nur noch so wie was wenn weil dass zwar dort dieser diese dieses lässt erscheinen spalte zeilen",
     "es": "el la los las un una unos unas y o pero no es son era eran fue fueron ser hay de del al en con por para sin sobre que qué se su sus lo le les como más muy ya si cuando donde este esta estos estas tras entre desde hasta también porque columna filas aparece",
@@ -191,7 +197,7 @@ def is_copy(prompt: str, response: str, slack: int = 20) -> bool:
 
 def context(text: str) -> str:
     """The last words of a text, digits as 0, in the form of terminal_contexts()."""
-    text = re.sub(r"[\"'”’»)\]*_`\s]+$", "", text)
+    text = re.sub(TRAILING, "", text)
     if re.search(r"[一-鿿]$", text):
         return re.sub(r"\d+", "0", text[-4:])
     return " ".join(re.sub(r"\d+", "0", " ".join(text.split()[-CONTEXT_WORDS:])).lower().split())
@@ -240,7 +246,7 @@ def terminal_contexts(steps: DataFrame) -> DataFrame:
     # What stands after the last final mark ends no sentence; the pieces before do.
     pieces = F.split(text, r"[.!?](?=[\"'”’»)\]\s]|$)|[。！？]")
     ended = steps.select(F.explode(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("s"))
-    tail = F.regexp_replace("s", r"[\"'”’»)\]\s]+$", "")
+    tail = F.regexp_replace("s", TRAILING, "")
     han = tail.rlike(r"[\x{4e00}-\x{9fff}]$")
     words = F.split(tail, r"\s+")
     last = F.when(han, F.right(tail, F.lit(4))).otherwise(F.lower(F.array_join(F.slice(words, F.greatest(F.size(words) - CONTEXT_WORDS + 1, F.lit(1)), CONTEXT_WORDS), " ")))
@@ -252,12 +258,12 @@ def inner_contexts(steps: DataFrame, asked: DataFrame) -> DataFrame:
     """context, inside: how often each asked context stands inside a sentence of the responses, with more of the sentence after it."""
     text = F.regexp_replace("raw_response", r"\\n", " ")
     pieces = steps.select(F.explode(F.split(text, r"[.!?](?=[\"'”’»)\]\s]|$)|[。！？]")).alias("s"))
-    tail = F.regexp_replace(F.lower(F.regexp_replace("s", r"[\"'”’»)\]\s]+$", "")), r"\d+", "0")
+    tail = F.regexp_replace(F.lower(F.regexp_replace("s", TRAILING, "")), r"\d+", "0")
     words = F.split(F.trim(tail), r"\s+")
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - CONTEXT_WORDS), lambda k: F.array_join(F.slice("w", k, CONTEXT_WORDS), " "))
     spoken = pieces.select(words.alias("w")).where(F.size("w") > CONTEXT_WORDS).select(F.explode(runs).alias("context"))
     han = pieces.select(F.explode(F.regexp_extract_all(tail, F.lit(r"(?s)(?=(.{3}[\x{4e00}-\x{9fff}]).)"), 1)).alias("context"))
-    seen = spoken.unionByName(han).select(F.regexp_replace("context", r"[\"'”’»)\]\s]+$", "").alias("context"))
+    seen = spoken.unionByName(han).select(F.regexp_replace("context", TRAILING, "").alias("context"))
     return seen.join(broadcast_if_small(asked), "context", "left_semi").groupBy("context").agg(F.count("*").alias("inside"))
 
 

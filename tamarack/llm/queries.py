@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tamarack.llm import leakage, mixing, packing, pairs, splitting, subjects, survivor, survivor_sql
+from tamarack.llm import checks, leakage, mixing, packing, pairs, splitting, subjects, survivor, survivor_sql
 from tamarack.session import load
 
 QUERIES = {
@@ -25,3 +25,5 @@ ORACLE = {
     "p6_found": survivor_sql.P6_FOUND,
     "p5_found": "SELECT unit_id FROM extraction_unit WHERE floor(length(text) / 4) > 1000",
 }
+QUERIES |= checks.QUERIES
+ORACLE |= checks.ORACLE

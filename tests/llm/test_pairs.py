@@ -67,3 +67,25 @@ def test_language(text, lang):
 @pytest.mark.parametrize(("sql", "broken"), [("SELECT a FROM t", False), ("SELECT a FROM t WHERE a > 1", False), ("SELECT a FROM t WHERE a >", True), ("SELECT COUNT(DISTINCT a", True), ("SELECT a FROM t JOIN u", True), ("SELECT a FROM t ORDER BY", True), ("SELECT 1", False), ("SELECT count(*) FROM t GROUP BY a", False)])
 def test_open_statements(sql, broken):
     assert pairs.sql_open(sql) is broken
+
+
+def test_contexts_of_both_sides_agree(spark):
+    """What judge() asks for is what terminal_contexts() counts, for every sentence of the data that ends in a final mark."""
+    texts = ["The rows are counted by month", "Es gibt 12 Zeilen mit \"Wert\"", "Cuenta las filas (todas)", "共有42条记录", "one", "a b", "Total of 3,250 rows `here`"]
+    steps = spark.createDataFrame([(i, t + "。" if t[-1] > "\u3000" else t + ".") for i, t in enumerate(texts)], "step_id long, raw_response string")
+    got = {r["context"] for r in pairs.terminal_contexts(steps).collect()}
+    assert {pairs.context(t) for t in texts} == got
+
+
+HELD_OUT = [
+    "I'm sorry, but I can't help with that request.", "Unfortunately I am unable to answer this question.", "I must decline to give any advice here.", "That is beyond what I am able to do.", "I would rather not answer that.", "As an AI I cannot share this.",
+    "Leider kann ich dir dabei nicht weiterhelfen.", "Dazu darf ich keine Auskunft geben.", "Lo siento, no puedo responder a eso.", "No me está permitido compartir esos datos.", "很抱歉，我无法回答这个问题。", "恕我不能提供这些信息。",
+]
+SOUND = ["There is no patient with that id.", "The table cannot be empty, so the count is right.", "No rows match the filter.", "Keine Zeile passt zu diesem Filter.", "No hay filas que coincidan.", "没有符合条件的记录。", "The value was not recorded for this patient.", "We could not find duplicates in the list."]
+
+
+def test_refusals_in_other_words():
+    """Phrases written for this test, not taken from the data: at least nine in ten refusals are told, and no negative answer is one."""
+    told = sum(pairs.judge("Count the patients of the clinic by month.", r)[0] == "refusal" for r in HELD_OUT)
+    assert told >= 0.9 * len(HELD_OUT)
+    assert not [r for r in SOUND if pairs.judge("Count the patients of the clinic by month.", r)[0] == "refusal"]
