@@ -99,11 +99,14 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     return judged.select(*columns).unionByName(unknown.select(*columns))
 
 
-def _keyed(df: DataFrame, key: Column, numeric: Column | bool) -> DataFrame:
-    """Adds key and number; text keys keep their case, numbers their digits."""
-    text = stripped(key)
-    digits = F.when(F.lit(numeric), entity_number(key)) if isinstance(numeric, bool) else F.when(numeric, entity_number(key))
-    return df.withColumn("key", F.coalesce(digits, text)).withColumn("number", digits.cast("bigint"))
+#: Parents with numeric keys, and the words that may stand before their numbers.
+NUMERIC_PARENTS = {"patient": "pt|patient", "laboratory": "lab|laboratory"}
+
+
+def _keyed(df: DataFrame, key: Column) -> DataFrame:
+    """Adds key and number by the parent: "LAB-12" is a number among results but not among patients. Text keys keep their case, numbers their digits."""
+    digits = F.coalesce(*(F.when(F.col("parent") == p, entity_number(key, words)) for p, words in NUMERIC_PARENTS.items()))
+    return df.withColumn("key", F.coalesce(digits, stripped(key))).withColumn("number", digits.cast("bigint"))
 
 
 def domain_references(patient: DataFrame, laboratory: DataFrame, relationships: DataFrame, club_event: DataFrame, column_info: DataFrame, foreign_key: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +114,6 @@ def domain_references(patient: DataFrame, laboratory: DataFrame, relationships:
     ntz = lambda c: F.col(c).cast("timestamp_ntz")
     no_time = F.lit(None).cast("timestamp_ntz")
     declared = F.lit("column_info.in_table")
-    numeric_parents = ("patient", "laboratory")
 
     lab_refs = laboratory.where(is_known(F.col("id"))).select(F.lit("laboratory").alias("from_table"), F.col("lab_id").alias("row_id"), F.lit("id").alias("col_name"), F.lit("patient").alias("parent"), F.col("id").alias("raw"), ntz("loaded_at").alias("at"))
     sides = F.explode(
@@ -126,14 +128,14 @@ def domain_references(patient: DataFrame, laboratory: DataFrame, relationships:
     )
     fk_refs = foreign_key.where(is_known(F.col("ref_table"))).select(F.lit("foreign_key").alias("from_table"), F.col("fk_id").alias("row_id"), F.lit("ref_table").alias("col_name"), declared.alias("parent"), F.lower("ref_table").alias("raw"), ntz("loaded_at").alias("at"))
     references = lab_refs.unionByName(edge_refs).unionByName(fk_refs)
-    references = _keyed(references, F.col("raw"), F.col("parent").isin(*numeric_parents)).drop("raw")
+    references = _keyed(references, F.col("raw")).drop("raw")
 
     people = patient.where(is_known(F.col("id"))).select(F.lit("patient").alias("parent"), F.col("id").alias("raw"), ntz("loaded_at").alias("loaded_at"), ntz("deleted_at").alias("deleted_at"))
     labs = laboratory.select(F.lit("laboratory").alias("parent"), F.col("lab_id").cast("string").alias("raw"), ntz("loaded_at").alias("loaded_at"), no_time.alias("deleted_at"))
     events = club_event.where(is_known(F.col("event_id"))).select(F.lit("club_event").alias("parent"), F.col("event_id").alias("raw"), ntz("loaded_at").alias("loaded_at"), ntz("deleted_at").alias("deleted_at"))
     tables = column_info.where(is_known(F.col("in_table"))).select(declared.alias("parent"), F.lower("in_table").alias("raw"), no_time.alias("loaded_at"), no_time.alias("deleted_at"))
     parents = people.unionByName(labs).unionByName(events).unionByName(tables)
-    return references, _keyed(parents, F.col("raw"), F.col("parent").isin(*numeric_parents)).drop("raw")
+    return references, _keyed(parents, F.col("raw")).drop("raw")
 
 
 def orphans_of(spark, sf_dir: str) -> DataFrame:

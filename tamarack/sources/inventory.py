@@ -100,8 +100,17 @@ def document_window(spark: SparkSession, path: str, chars: int = 4000, offset: i
     return row[0] if row else ""
 
 
+#: A larger JSON file is shown as it is written, from its start.
+PREVIEW_BYTES = 16 << 20
+
+
 def json_preview(path: str, chars: int = 4000) -> str:
-    return json.dumps(json.loads(Path(path).read_text(encoding="utf-8")), indent=2, ensure_ascii=False)[:chars]
+    """The first characters of a JSON file, indented where it is small enough to be parsed here."""
+    p = Path(path)
+    if p.stat().st_size > PREVIEW_BYTES:
+        with p.open(encoding="utf-8", errors="replace") as f:
+            return f.read(chars)
+    return json.dumps(json.loads(p.read_text(encoding="utf-8")), indent=2, ensure_ascii=False)[:chars]
 
 
 def documents(spark: SparkSession, root: str) -> DataFrame:

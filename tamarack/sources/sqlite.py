@@ -9,7 +9,10 @@ from contextlib import closing
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-RANGES = 8
+from tamarack.sources.tables import refuse_large
+
+#: Rows of one range, about, and the fewest ranges of a table.
+RANGE_ROWS, RANGES = 250_000, 8
 
 
 def _connect(path: str) -> sqlite3.Connection:
@@ -53,7 +56,7 @@ class SqliteReader(DataSourceReader):
                 return [RowRange(None, None)]
         if low is None:
             return [RowRange(0, 0)]
-        step = max(1, -(-(high - low + 1) // RANGES))
+        step = max(1, min(RANGE_ROWS, -(-(high - low + 1) // RANGES)))
         return [RowRange(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
 
     def read(self, partition: RowRange) -> Iterator[tuple]:
@@ -94,8 +97,15 @@ def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.format("sqlite_file").option("path", path).option("table", table).load()
 
 
-def write_sqlite(df: DataFrame, path: str, table: str, key: str | None = None) -> int:
-    """A small result as a SQLite table, replaced whole; rows stream through the driver. Returns their number."""
+def write_sqlite(df: DataFrame, path: str, table: str, key: str | None = None, protected: frozenset[str] = frozenset()) -> int:
+    """A small result as a SQLite table, replaced whole; rows of one key replace each other. Returns their number.
+
+    A protected table is left alone: the rows go to the table of its name with
+    "_doc". Rows stream through the driver; larger results are refused.
+    """
+    refuse_large(df)
+    if table.lower() in {p.lower() for p in protected}:
+        table = f"{table}_doc"
     kinds = {"bigint": "INTEGER", "int": "INTEGER", "boolean": "INTEGER", "double": "REAL", "float": "REAL"}
     columns = ", ".join(f"{_quoted(f.name)} {kinds.get(f.dataType.simpleString(), 'TEXT')}{' PRIMARY KEY' if f.name == key else ''}" for f in df.schema)
     plain = lambda v: v if v is None or isinstance(v, int | float | str) else str(v)
