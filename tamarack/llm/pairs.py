@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.session import broadcast_if_small, load, materialise, spread
@@ -196,10 +196,10 @@ def is_copy(prompt: str, response: str, slack: int = 20) -> bool:
 
 
 def context(text: str) -> str:
-    """The last words of a text, digits as 0, in the form of terminal_contexts()."""
+    """The last words of a text, digits as 0, in the form that context_key() reads."""
     text = re.sub(TRAILING, "", text)
     if re.search(r"[一-鿿]$", text):
-        return re.sub(r"\d+", "0", text[-4:])
+        return re.sub(r"\d+", "0", text)[-4:]
     return " ".join(re.sub(r"\d+", "0", " ".join(text.split()[-CONTEXT_WORDS:])).lower().split())
 
 
@@ -240,31 +240,37 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[out["defect"].notna() | out["context"].notna()]
 
 
-def terminal_contexts(steps: DataFrame) -> DataFrame:
-    """context, ends: how often the sentences of all responses end with it, before a final mark."""
+#: Where a sentence ends.
+FINAL_MARK = r"[.!?](?=[\"'”’»)\]\s]|$)|[。！？]"
+
+
+def context_key(context: Column) -> Column:
+    """The key of a context as context() writes it: of its words, or of itself where it ends in Chinese."""
+    words = F.split(context, " ")
+    return F.when(context.rlike(r"[\x{4e00}-\x{9fff}]$"), F.xxhash64(context)).otherwise(F.xxhash64(*(F.coalesce(F.try_element_at(words, F.lit(k)), F.lit("")) for k in range(1, CONTEXT_WORDS + 1))))
+
+
+def context_counts(steps: DataFrame, asked: DataFrame) -> DataFrame:
+    """key, ends, inside: how often each asked context ends a sentence of the responses, and how often it stands inside one with more of the sentence after it.
+
+    asked: key. One pass over the responses; runs of words are met by their
+    keys and never written as text, and only those asked for are counted.
+    """
     text = F.regexp_replace("raw_response", r"\\n", " ")
+    pieces = steps.select(F.split(text, FINAL_MARK).alias("p")).select(F.posexplode("p").alias("k", "s"), (F.size("p") - 1).alias("last"))
     # What stands after the last final mark ends no sentence; the pieces before do.
-    pieces = F.split(text, r"[.!?](?=[\"'”’»)\]\s]|$)|[。！？]")
-    ended = steps.select(F.explode(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("s"))
-    tail = F.regexp_replace("s", TRAILING, "")
-    han = tail.rlike(r"[\x{4e00}-\x{9fff}]$")
-    words = F.split(tail, r"\s+")
-    last = F.when(han, F.right(tail, F.lit(4))).otherwise(F.lower(F.array_join(F.slice(words, F.greatest(F.size(words) - CONTEXT_WORDS + 1, F.lit(1)), CONTEXT_WORDS), " ")))
-    seen = ended.select(F.regexp_replace(last, r"\d+", "0").alias("context"))
-    return seen.where("context <> ''").groupBy("context").agg(F.count("*").alias("ends"))
-
-
-def inner_contexts(steps: DataFrame, asked: DataFrame) -> DataFrame:
-    """context, inside: how often each asked context stands inside a sentence of the responses, with more of the sentence after it."""
-    text = F.regexp_replace("raw_response", r"\\n", " ")
-    pieces = steps.select(F.explode(F.split(text, r"[.!?](?=[\"'”’»)\]\s]|$)|[。！？]")).alias("s"))
-    tail = F.regexp_replace(F.lower(F.regexp_replace("s", TRAILING, "")), r"\d+", "0")
-    words = F.split(F.trim(tail), r"\s+")
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - CONTEXT_WORDS), lambda k: F.array_join(F.slice("w", k, CONTEXT_WORDS), " "))
-    spoken = pieces.select(words.alias("w")).where(F.size("w") > CONTEXT_WORDS).select(F.explode(runs).alias("context"))
-    han = pieces.select(F.explode(F.regexp_extract_all(tail, F.lit(r"(?s)(?=(.{3}[\x{4e00}-\x{9fff}]).)"), 1)).alias("context"))
-    seen = spoken.unionByName(han).select(F.regexp_replace("context", TRAILING, "").alias("context"))
-    return seen.join(broadcast_if_small(asked), "context", "left_semi").groupBy("context").agg(F.count("*").alias("inside"))
+    tails = pieces.select((F.col("k") < F.col("last")).alias("whole"), F.regexp_replace(F.lower(F.regexp_replace("s", TRAILING, "")), r"\d+", "0").alias("t")).where("t rlike '\\\\S'")
+    cut = tails.select("whole", "t", F.col("t").rlike(r"[\x{4e00}-\x{9fff}]$").alias("han"), F.split(F.trim("t"), r"\s+").alias("w"))
+    n, bare = F.size("w"), lambda c: F.regexp_replace(c, TRAILING, "")
+    word = lambda k: F.coalesce(F.try_element_at("w", k), F.lit(""))
+    run = lambda k: F.xxhash64(*(word(k + i) for i in range(CONTEXT_WORDS - 1)), bare(word(k + CONTEXT_WORDS - 1)))
+    at = lambda key, end: F.struct(key.alias("key"), end.alias("end"))
+    inner = F.when(n > CONTEXT_WORDS, F.transform(F.sequence(F.lit(1), n - CONTEXT_WORDS), lambda k: at(run(k), F.lit(False)))).otherwise(F.array().cast("array<struct<key:bigint,end:boolean>>"))
+    first = F.greatest(n - CONTEXT_WORDS + 1, F.lit(1))
+    final = F.when(F.col("whole"), F.array(at(F.when(F.col("han"), F.xxhash64(F.right("t", F.lit(4)))).otherwise(run(first)), F.lit(True)))).otherwise(F.array().cast("array<struct<key:bigint,end:boolean>>"))
+    han = F.transform(F.regexp_extract_all("t", F.lit(r"(?s)(?=(.{3}[\x{4e00}-\x{9fff}]).)"), 1), lambda c: at(F.xxhash64(c), F.lit(False)))
+    met = cut.select(F.explode(F.concat(inner, final, F.when(F.col("t").rlike(r"[\x{4e00}-\x{9fff}]"), han).otherwise(F.array().cast("array<struct<key:bigint,end:boolean>>")))).alias("x")).select("x.key", "x.end")
+    return met.join(broadcast_if_small(asked), "key", "left_semi").groupBy("key").agg(F.count_if("end").alias("ends"), F.count_if(~F.col("end")).alias("inside"))
 
 
 def broken_pairs(steps: DataFrame) -> DataFrame:
@@ -277,16 +283,13 @@ def broken_pairs(steps: DataFrame) -> DataFrame:
     """
     steps = steps.select("step_id", "thought", "raw_response")
     judged = materialise(steps.mapInPandas(_judged, "step_id bigint, defect string, context string"))
-    # Contexts are counted map-side; only responses without a final mark carry one to the join.
-    answered = steps.where("raw_response is not null")
-    endings = terminal_contexts(answered)
-    inner = inner_contexts(answered, judged.where("context is not null").select("context").distinct())
-    # Decided rows have no context; keys of their own keep them from meeting in one partition.
-    spread_out = judged.withColumn("context", F.coalesce("context", F.concat(F.lit("#"), F.xxhash64("step_id").cast("string"))))
-    looked_up = spread_out.join(endings, "context", "left").join(inner, "context", "left")
+    keyed = judged.withColumn("key", F.when(F.col("context").isNotNull(), context_key(F.col("context"))))
+    counts = context_counts(steps.where("raw_response is not null"), keyed.where("key is not null").select("key").distinct())
+    open_ = keyed.where("key is not null").join(counts, "key", "left")
     # Of two counts that grow alike, the larger tells what the context mostly does, whatever the number of rows.
     cut = F.coalesce("ends", F.lit(0)) <= F.coalesce("inside", F.lit(0))
-    return looked_up.withColumn("defect", F.coalesce("defect", F.when(cut, "truncated"))).where("defect is not null").select("step_id", "defect")
+    broken_off = open_.where(cut).select("step_id", F.lit("truncated").alias("defect"))
+    return keyed.where("defect is not null").select("step_id", "defect").unionByName(broken_off)
 
 
 def pairs_of(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tamarack.llm import pairs
 
@@ -70,11 +71,14 @@ def test_open_statements(sql, broken):
 
 
 def test_contexts_of_both_sides_agree(spark):
-    """What judge() asks for is what terminal_contexts() counts, for every sentence of the data that ends in a final mark."""
-    texts = ["The rows are counted by month", "Es gibt 12 Zeilen mit \"Wert\"", "Cuenta las filas (todas)", "共有42条记录", "one", "a b", "Total of 3,250 rows `here`"]
-    steps = spark.createDataFrame([(i, t + "。" if t[-1] > "\u3000" else t + ".") for i, t in enumerate(texts)], "step_id long, raw_response string")
-    got = {r["context"] for r in pairs.terminal_contexts(steps).collect()}
-    assert {pairs.context(t) for t in texts} == got
+    """What judge() asks for is what context_counts() finds: at the end of each sentence once, and inside where more of a sentence follows."""
+    texts = ["The rows are counted by month", 'Es gibt 12 Zeilen mit "Wert"', "Cuenta las filas (todas)", "共有42条记录", "返回1030行", "one", "a b", "Total of 3,250 rows `here`"]
+    ended = [t + "。" if t[-1] > "\u3000" else t + "." for t in texts]
+    inside = ["The rows are counted by month and by year.", "合计共有42条记录数。", "Cuenta las filas (todas) del mes"]
+    steps = spark.createDataFrame(list(enumerate([*ended, *inside, None, "", "..."])), "step_id long, raw_response string")
+    asked = spark.createDataFrame([(pairs.context(t),) for t in texts], "context string").select("context", pairs.context_key(F.col("context")).alias("key"))
+    got = {r["context"]: (r["ends"], r["inside"]) for r in pairs.context_counts(steps.where("raw_response is not null"), asked.select("key")).join(asked, "key").collect()}
+    assert got == {pairs.context(t): (1, 1 if k in (0, 2, 3) else 0) for k, t in enumerate(texts)}
 
 
 HELD_OUT = [
