@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.functions.keys import entity_number, is_known, stripped
+from tamarack.functions.keys import PLAIN_NUMBER, entity_number, is_known, stripped
 from tamarack.session import BROADCAST_ROWS, load, materialise
 
 ALWAYS, NEVER = -(2**31), 2**31 - 1
@@ -105,7 +105,9 @@ NUMERIC_PARENTS = {"patient": "pt|patient", "laboratory": "lab|laboratory"}
 
 def _keyed(df: DataFrame, key: Column) -> DataFrame:
     """Adds key and number by the parent: "LAB-12" is a number among results but not among patients. Text keys keep their case, numbers their digits."""
-    digits = F.coalesce(*(F.when(F.col("parent") == p, entity_number(key, words)) for p, words in NUMERIC_PARENTS.items()))
+    numeric = F.col("parent").isin(*NUMERIC_PARENTS)
+    cleaned = F.coalesce(*(F.when(F.col("parent") == p, entity_number(key, words)) for p, words in NUMERIC_PARENTS.items()))
+    digits = F.when(numeric & key.rlike(PLAIN_NUMBER), key).when(numeric, cleaned)
     return df.withColumn("key", F.coalesce(digits, stripped(key))).withColumn("number", digits.cast("bigint"))
 
 
