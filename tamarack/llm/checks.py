@@ -16,9 +16,9 @@ def packing_fit(spark, d: str) -> DataFrame:
     """pieces, tokens, repeated, overfull, over_least: what was placed, pieces placed twice, requests above the capacity, requests beyond the fewest possible."""
     placed, totals = packing.pack(load(spark, d, "paragraph_unit"), CAPACITY)
     full = placed.groupBy("request_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
-    twice = placed.groupBy("unit_id", "piece").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    twice = placed.groupBy("unit_id", "piece").agg(F.count("*").alias("n")).where("n > 1").count()
     sums = full.agg(F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > CAPACITY).alias("overfull"), (F.count("*") - F.lit(totals["least"])).alias("over_least"))
-    return sums.crossJoin(twice).select("pieces", "tokens", "repeated", "overfull", "over_least")  # one row on either side
+    return sums.select("pieces", "tokens", F.lit(twice).alias("repeated"), "overfull", "over_least")
 
 
 PACKING_FIT = f"""WITH u AS (SELECT coalesce(length(text), 0) AS n FROM paragraph_unit), p AS (SELECT n, unnest(range(CAST(greatest(ceil(n / {_MOST}), 1) AS BIGINT))) AS k FROM u)
