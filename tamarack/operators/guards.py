@@ -113,14 +113,14 @@ class Context:
     docs: DataFrame | None = None
 
 
-#: The whole chain in its order; a guard without what it needs has no objection.
+#: The whole chain in its order; a guard without what it needs has no objection. A cross join is looked for first: that runs nothing, and what follows would run it.
 CHAIN: tuple[Callable[[DataFrame, Context], Objection | None], ...] = (
+    lambda r, c: cross_join(r),
     lambda r, c: repeated_rows(r),
     lambda r, c: too_many_rows(r),
     lambda r, c: wrong_column(r, dict(c.resolved)) if c.resolved else None,
     lambda r, c: unverified_filter(r, list(c.tested)) if c.tested else None,
     lambda r, c: vacuous_filter(c.source, dict(c.conditions)) if c.source is not None and c.conditions else None,
-    lambda r, c: cross_join(r),
     lambda r, c: empty_first(c.source, c.ordered_by, c.ascending) if c.source is not None and c.ordered_by else None,
     lambda r, c: mostly_empty(r),
     lambda r, c: nameable_ids(r, c.docs) if c.docs is not None else None,

@@ -119,15 +119,16 @@ def extend_graph(spark: SparkSession, known: SchemaGraph, tables: dict[str, Data
 def consolidated_schema(tables: dict[str, DataFrame], samples: int = 5) -> DataFrame:
     """table_name, column_name, type, row_count, samples (the smallest distinct values, "|" between them), shared: whether another table has a column of the name."""
     spark = next(iter(tables.values())).sparkSession
+    sizes = reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count") for t, df in tables.items()))
     rows = []
     for t, df in tables.items():
         counts = profile.value_counts(df).where("value is not null")
         place = F.row_number().over(profile.Window.partitionBy("column_name").orderBy("value"))
         first = counts.withColumn("place", place).where(F.col("place") <= samples).groupBy("column_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "|").alias("samples"))
-        rows.append(first.withColumn("table_name", F.lit(t)).crossJoin(F.broadcast(df.agg(F.count("*").alias("row_count")))))  # one row
+        rows.append(first.withColumn("table_name", F.lit(t)))
     kinds = graph.column_table(spark, tables)
     names = kinds.groupBy("column_name").agg((F.count_distinct("table_name") > 1).alias("shared"))
-    return kinds.join(reduce(DataFrame.unionByName, rows), ["table_name", "column_name"], "left").join(names, "column_name").select("table_name", "column_name", "type", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.coalesce("samples", F.lit("")).alias("samples"), "shared")
+    return kinds.join(reduce(DataFrame.unionByName, rows), ["table_name", "column_name"], "left").join(names, "column_name").join(F.broadcast(sizes), "table_name").select("table_name", "column_name", "type", "row_count", F.coalesce("samples", F.lit("")).alias("samples"), "shared")
 
 
 def column_collisions(columns: DataFrame, question: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.operators.profile import is_text
@@ -33,6 +33,14 @@ def token_overlap(a: str, b: str) -> float:
     return len(x & y) / min(len(x), len(y)) if x and y else 0.0
 
 
+def overlap_with(c: Column, text: str) -> Column:
+    """token_overlap() of a column with a text; null and blank texts share nothing."""
+    wanted = sorted(set(text.lower().split()))
+    words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+")), lambda w: w != "")
+    shared = F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in wanted)))) if wanted else F.lit(0)
+    return F.when(F.size(words) > 0, shared / F.least(F.size(words), F.lit(max(1, len(wanted))))).otherwise(0.0)
+
+
 def find_value(tables: dict[str, DataFrame], value: str) -> DataFrame:
     """table_name, column_name, exact, partial: rows of text columns equal to a value or holding it, case aside; one pass per table."""
     out = []

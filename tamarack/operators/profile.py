@@ -32,13 +32,21 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(pairs.alias("p")).groupBy("p.column_name", "p.value").agg(F.count("*").alias("n"))
 
 
+def hashed_counts(df: DataFrame) -> DataFrame:
+    """column_name, a, b, n: value_counts() with 128 bits of hash for each value, so that long texts stay where they are; null has no hash."""
+    h = lambda c, seed: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), F.col(c).cast("string")))
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), h(c, 1).alias("a"), h(c, 2).alias("b")) for i, c in enumerate(df.columns))))
+    names = F.array(*(F.lit(c) for c in df.columns))
+    return df.select(pairs.alias("p")).groupBy("p.c", "p.a", "p.b").agg(F.count("*").alias("n")).select(names[F.col("c")].alias("column_name"), "a", "b", "n")
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: total, non_null, distinct_count, null_ratio (3 places), cardinality_ratio (4) and, for numbers, min_value, max_value, avg_value (2).
 
     An empty table gives ratios of 0 and null extremes. Nulls are no values.
     """
-    counts = value_counts(df).groupBy("column_name").agg(
-        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"), F.count("value").alias("distinct_count")
+    counts = hashed_counts(df).groupBy("column_name").agg(
+        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("a").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"), F.count("a").alias("distinct_count")
     )
     numbers = [c for c in df.columns if is_numeric(df, c)]
     spark = df.sparkSession

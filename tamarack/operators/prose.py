@@ -51,7 +51,8 @@ _SEX = re.compile(r"\b(?:sex\s*:\s*|(?:identified|denoted|classified)\s+as\s+(?:
 _DIAGNOSIS = re.compile(r"\bdiagnosis\s*:\s*(\S+)", re.I)
 _BORN = re.compile(r"\b(?:date\s+of\s+birth|dob|born\s+on|birthday)\s+(?:is\s+)?", re.I)
 _MONTH = "|".join(D.MONTHS)
-_DATE = re.compile(rf"\b(?:(\d{{4}}-\d{{2}}-\d{{2}})|({_MONTH})\s+([\w-]+?)(?:st|nd|rd|th)?,?\s+(\d{{4}})|(?:the\s+)?([\w-]+?)(?:st|nd|rd|th)?\s+(?:of\s+)?({_MONTH}),?\s+(\d{{4}}))\b", re.I)
+_DAY = r"(\d{1,2}|[a-z]+(?:-[a-z]+)?)(?:(?<=\d)(?:st|nd|rd|th))?"
+_DATE = re.compile(rf"\b(?:(\d{{4}}-\d{{2}}-\d{{2}})|({_MONTH})\s+{_DAY},?\s+(\d{{4}})|(?:the\s+)?{_DAY}\s+(?:of\s+)?({_MONTH}),?\s+(\d{{4}}))\b", re.I)
 
 CORRECTION_REACH, NUMBER_REACH, MISSING_REACH, STATE_REACH, NEAR = 500, 120, 150, 200, 40
 SCHEMA = "doc_id bigint, place int, record string, field string, value string, confidence string, is_correction boolean, alternatives array<string>"
@@ -288,9 +289,9 @@ def data_paragraphs(docs: DataFrame, least: int = 30, density: float = 0.3) -> D
     return parts.where(F.length("text") >= least).select("doc_id", (F.col("section") * 100_000 + F.col("k")).cast("int").alias("place"), "heading", "text")
 
 
-def discovered_fields(paragraphs: DataFrame, least: int = 3) -> list[Field]:
-    """Fields that paragraphs state least times or more as "ABBR was/of/at N"; names are metadata and come to the driver."""
-    found = D.discover_fields(paragraphs, "text", least).select("field").collect()
+def discovered_fields(docs: DataFrame, least: int = 3) -> list[Field]:
+    """Fields that texts state least times or more as "ABBR was/of/at N"; names are metadata and come to the driver."""
+    found = D.discover_fields(docs, "text", least).select("field").collect()
     return [Field(r["field"]) for r in sorted(found)]
 
 
@@ -303,7 +304,7 @@ def documents_to_records(docs: DataFrame, fields: list[Field] | None = None) ->
     find, of low confidence or with alternatives.
     """
     paragraphs = data_paragraphs(docs)
-    read = read_paragraphs(paragraphs, fields if fields is not None else discovered_fields(paragraphs))
+    read = read_paragraphs(paragraphs, fields if fields is not None else discovered_fields(docs))
     keyed = read.where("record <> ''").withColumn("at", F.struct("doc_id", "place"))
     flags = merge.flag_values(keyed).where("flag is not null").select("record", "field", "flag", "doc_id", "place")
     return merge.merge_by_confidence(keyed.withColumn("place", F.col("at")).drop("at")), flags

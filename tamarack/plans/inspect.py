@@ -15,6 +15,10 @@ def optimized(df: DataFrame) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def executed(df: DataFrame) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions of a scan; nothing runs."""
     return df._jdf.queryExecution().toRdd().getNumPartitions()
@@ -40,23 +44,30 @@ def _closes(text: str) -> int:
     return -1
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names below a folder of any file system Spark knows; none where it is missing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def split_and(text: str) -> list[str]:
+    """The conjuncts of a printed condition, brackets around them taken off, however deep the ANDs are nested."""
+    text = text.strip()
+    while text.startswith("(") and _closes(text) == len(text) - 1:
+        text = text[1:-1].strip()
+    depth = 0
+    for k, ch in enumerate(text):
+        depth += {"(": 1, ")": -1}.get(ch, 0)
+        if depth == 0 and text.startswith(" AND ", k):
+            return split_and(text[:k]) + split_and(text[k + 5 :])
+    return [text]
+
+
 def conjuncts(df: DataFrame) -> list[str]:
     """The conditions of the outermost filter, split at AND, attribute ids taken off."""
     m = re.search(r"^[\s:+-]*Filter (.*)$", analyzed(df), re.M)
-    if not m:
-        return []
-    text, parts, depth, at, k = re.sub(r"#\d+L?", "", m[1]).strip(), [], 0, 0, 0
-    while text.startswith("(") and _closes(text) == len(text) - 1:
-        text = text[1:-1]
-    while k < len(text):
-        depth += {"(": 1, ")": -1}.get(text[k], 0)
-        if depth == 0 and text.startswith(" AND ", k):
-            parts.append(text[at:k])
-            at = k = k + 5
-            continue
-        k += 1
-    bare = [p.strip() for p in [*parts, text[at:]]]
-    return [p[1:-1] if p.startswith("(") and _closes(p) == len(p) - 1 else p for p in bare]
+    return split_and(re.sub(r"#\d+L?", "", m[1])) if m else []
 
 
 def order_and_limit(df: DataFrame) -> tuple[str, int | None]:
@@ -133,7 +144,7 @@ def read_sql(spark: SparkSession, sql: str) -> DataFrame:
 
 def scanned_columns(df: DataFrame) -> set[str]:
     """Columns the scans of the physical plan read."""
-    text = df._jdf.queryExecution().executedPlan().toString()
+    text = executed(df)
     return {c.split(":")[0] for m in re.finditer(r"ReadSchema: struct<([^>]*)>", text) for c in m[1].split(",") if c}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarack.operators import documents as D
-from tamarack.operators import graph, merge, probes, profile, scoring
+from tamarack.operators import graph, lookup, merge, probes, profile, scoring
 from tamarack.operators import prose as P
 from tamarack.plans import planner
 from tamarack.session import load
@@ -475,9 +475,8 @@ def _(spark, d):
     "WITH t AS (SELECT DISTINCT p_name, list_distinct(string_split(lower(p_name), ' ')) w FROM part WHERE p_name IS NOT NULL) SELECT p_name FROM t WHERE len(list_intersect(w, string_split('small green widget', ' '))) / least(len(w), 3) > 0.5",
 )
 def _(spark, d):
-    wanted = F.array(*(F.lit(w) for w in ("small", "green", "widget")))
-    names = load(spark, d, "part").where("p_name is not null").select("p_name").distinct().withColumn("w", F.array_distinct(F.split(F.lower("p_name"), " ")))
-    return names.where(F.size(F.array_intersect("w", wanted)) / F.least(F.size("w"), F.lit(3)) > 0.5).select("p_name")
+    names = load(spark, d, "part").where("p_name is not null").select("p_name").distinct()
+    return names.where(lookup.overlap_with(F.col("p_name"), "small green widget") > 0.5)
 
 
 @query("prefix_candidates", "SELECT DISTINCT event_id FROM club_event WHERE starts_with(event_id, 'recA') OR starts_with(event_id, 'recB')")

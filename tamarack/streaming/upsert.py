@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.operators.merge import filled
+from tamarack.plans.inspect import children
 
 
 def fold(pieces: DataFrame, key: str, order: str) -> DataFrame:
@@ -26,13 +27,6 @@ def values(folded: DataFrame, key: str) -> DataFrame:
     return folded.select(key, *(F.col(c)["v"].alias(c) for c in folded.columns if c != key))
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    """Names below a folder of any file system Spark knows; none where it is missing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-
 def run_upserts(spark: SparkSession, stream: DataFrame, key: str, order: str, folder: str, compact_after: int = 20) -> DataFrame:
     """Folds all that a stream has now into folder and returns the table.
 
@@ -48,7 +42,7 @@ def run_upserts(spark: SparkSession, stream: DataFrame, key: str, order: str, fo
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    named = lambda kind: sorted(int(n.split("=")[1]) for n in _children(spark, base) if n.startswith(f"{kind}=") and "_SUCCESS" in _children(spark, f"{base}/{n}"))
+    named = lambda kind: sorted(int(n.split("=")[1]) for n in children(spark, base) if n.startswith(f"{kind}=") and "_SUCCESS" in children(spark, f"{base}/{n}"))
     whole = named("whole")[-1:]
     parts = [n for n in named("part") if not whole or n > whole[0]]
     folds = [spark.read.parquet(f"{base}/{kind}={n}") for kind, ns in (("whole", whole), ("part", parts)) for n in ns]

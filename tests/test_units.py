@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from tamarack.functions import quantities
 from tamarack.functions.affine import Affine, UnitGraph
+from tamarack.operators import units
 from tamarack.operators.units import canonical_values, other_units
 
 COLUMNS = [
@@ -87,3 +88,10 @@ def test_inconsistent_cycle_is_refused():
 def test_affine_round_trip(a, b, x):
     f = Affine(a, b)
     assert math.isclose(f.inverse()(f(x)), x, rel_tol=1e-6, abs_tol=1e-4)
+
+
+def test_values_are_read_without_python(spark, sf):
+    """Only the meanings of the column names pass through Python, before the values are read."""
+    from tamarack.plans.inspect import executed
+
+    assert "EvalPython" not in executed(units.values_of(spark, sf))
