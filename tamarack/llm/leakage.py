@@ -94,6 +94,22 @@ def longest_stretch(doc: list[int], item: list[int], own: set[int]) -> list[int]
     return longest_stretches(doc, item, own)[1]
 
 
+def may_match(window: list[int], places: dict[int, list[int]], most_edits: int = MOST_EDITS) -> bool:
+    """Whether so many words of a window stand in an item at nearly the same distance that the window may be within most_edits of one there.
+
+    A necessary condition: edits shift what follows by one each, so the words
+    that stay equal lie on most_edits + 1 neighbouring diagonals.
+    """
+    least = len(window) - most_edits
+    if sum(w in places for w in window) < least:
+        return False
+    diagonals: dict[int, int] = {}
+    for i, w in enumerate(window):
+        for j in places.get(w, ()):
+            diagonals[j - i] = diagonals.get(j - i, 0) + 1
+    return any(sum(diagonals.get(d + k, 0) for k in range(most_edits + 1)) >= least for d in diagonals)
+
+
 def _long_enough(best: list[int]) -> bool:
     return any(n >= max(WINDOW, 6 * e) for e, n in enumerate(best))
 
@@ -153,6 +169,10 @@ class ItemIndex:
         self._start()
         self.runs = [[self.lexicon[w] for w in ws] for _, ws in long]
         self.own = {self.lexicon[w] for w in own_words if w in self.lexicon}
+        self.places: list[dict[int, list[int]]] = [{} for _ in self.runs]
+        for at, run in zip(self.places, self.runs, strict=True):
+            for j, w in enumerate(run):
+                at.setdefault(w, []).append(j)
         self.keys, self.owners = np.empty(0, np.int64), np.empty(0, np.int32)
         if self.runs:
             starts = [(r, p) for r, run in enumerate(self.runs) for p in range(len(run) - WINDOW + 1)]
@@ -215,9 +235,8 @@ class ItemIndex:
             if found.get((d, item)):
                 continue
             doc, target, done = docs[d], self.runs[run], -1
-            belongs = set(target)
             for p in (q - int(begins[d]) for q in places):
-                if sum(w in belongs for w in doc[p : p + WINDOW]) < WINDOW - MOST_EDITS or p <= done:
+                if p <= done or not may_match(doc[p : p + WINDOW], self.places[run]):
                     continue
                 done = p + WINDOW
                 around = doc[max(0, p - 3 * WINDOW) : p + 5 * WINDOW]

@@ -113,3 +113,19 @@ def test_stretch_counts_edits():
     assert leakage.longest_stretch(item, item, set()) == [0, 0, 0, 0]
     assert leakage.longest_stretch([*range(8), *range(9, 20)], item, {5})[:2] == [8, 20]
     assert leakage.longest_stretch([*range(8), 99, *range(8, 20)], item, {5})[:2] == [12 if 5 >= 8 else 8, 20]
+
+
+def test_windows_that_may_match():
+    rng = random.Random(5)
+    item = [rng.randrange(40) for _ in range(60)]
+    places: dict[int, list[int]] = {}
+    for j, w in enumerate(item):
+        places.setdefault(w, []).append(j)
+    for _ in range(300):
+        p = rng.randrange(len(item) - 16)
+        window = item[p : p + 12]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(window))
+            window = rng.choice([window[:k] + [99] + window[k + 1 :], window[:k] + window[k + 1 :] + [item[p + 12]], (window[:k] + [99] + window[k:])[:12]])
+        assert leakage.may_match(window, places)
+    assert not leakage.may_match([99] * 12, places) and not leakage.may_match(item[:12][::-1], {w: [k] for k, w in enumerate(range(100, 160))})
