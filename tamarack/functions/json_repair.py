@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: A string, or a comma before a closing bracket; only the comma goes.
+_STRING_OR_COMMA = re.compile(r'("(?:[^"\\]|\\.)*"?)|,(?=\s*[}\]])', re.S)
+
+
+def _without_trailing_commas(text: str) -> str:
+    return _STRING_OR_COMMA.sub(lambda m: m[1] or "", text)
+
+
 def _closed(text: str) -> str:
     """The text with its open string and brackets closed; what follows the last whole element of a cut array is dropped."""
     stack, inside, skip, whole, then = [], False, False, 0, ""
@@ -33,7 +41,7 @@ def _closed(text: str) -> str:
         tried.append(text[:whole] + then)
     for t in tried:
         try:
-            json.loads(re.sub(r",\s*([}\]])", r"\1", t), strict=False)
+            json.loads(_without_trailing_commas(t), strict=False)
             return t
         except ValueError:
             continue
@@ -50,7 +58,7 @@ def repair_json(reply: str | None) -> str | None:
     start = re.search(r"[{\[]", text)
     if not start:
         return None
-    body = re.sub(r",\s*([}\]])", r"\1", _closed(text[start.start() :]))
+    body = _without_trailing_commas(_closed(text[start.start() :]))
     try:
         return json.dumps(json.loads(body, strict=False), ensure_ascii=False, sort_keys=True)
     except ValueError:

@@ -239,6 +239,15 @@ def _split_sql(separator: str, least: int) -> str:
     return f"SELECT doc_id, k, length(trim(v)) AS size FROM (SELECT doc_id, unnest({cut}) AS v, generate_subscripts({cut}, 1) AS k FROM documents WHERE text IS NOT NULL) WHERE length(trim(v)) >= {least}"
 
 
+# Replies whose JSON stands in a fence: what is repaired is what the fence holds.
+@query("json_fenced", r"WITH f AS (SELECT step_id, regexp_extract(raw_response, '(?s)```(?:json)?\s*(.*?)```', 1) AS j FROM step_record WHERE contains(raw_response, '```')) SELECT step_id, json_extract_string(j, '$.action') AS action, len(json_keys(j)) AS keys FROM f WHERE json_valid(j) AND starts_with(trim(j), '{')")
+def _(spark, d):
+    fence = F.regexp_extract("raw_response", r"(?s)```(?:json)?\s*(.*?)```", 1)
+    s = load(spark, d, "step_record").where(F.contains("raw_response", F.lit("```"))).withColumn("j", fence)
+    whole = s.where(F.startswith(F.trim("j"), F.lit("{")) & F.try_parse_json("j").isNotNull()).withColumn("reply", repaired(F.col("raw_response")))
+    return whole.select("step_id", F.get_json_object("reply", "$.action").alias("action"), F.size(F.json_object_keys("reply")).alias("keys"))
+
+
 @query("doc_chunks", core.packed_sql(_split_sql(r"\n\s*\n", 1), 4000, 15, "chars", "chunk"))
 def _(spark, d):
     return D.chunks(load(spark, d, "documents").where("text is not null"), 4000, 15)

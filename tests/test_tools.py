@@ -100,3 +100,11 @@ def test_values_and_dates(spark):
     assert [r["d"] for r in documents.normalise_date_column(dates, "d").collect()] == ["2004-03-05", "2003-07-01", "soon", "2001-02-03"]
     few = dates.limit(1)
     assert documents.normalise_date_column(few, "d").first()["d"] == "March 5, 2004"
+
+
+def test_commas_in_strings_stay():
+    from tamarack.functions.json_repair import repair_json
+
+    assert repair_json('{"a": ", ]", "b": [1, 2, ], }') == '{"a": ", ]", "b": [1, 2]}'
+    assert repair_json('so: {"k": "v,}", "open": [1, {"x": "cut') == '{"k": "v,}", "open": [1, {"x": "cut"}]}'
+    assert repair_json(None) is None and repair_json("") is None and repair_json("no json") is None
