@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamarack.session import materialise
+from tamarack.session import materialise, spread
 
 
 def is_numeric(df: DataFrame, column: str) -> bool:
@@ -37,7 +37,7 @@ def hashed_counts(df: DataFrame) -> DataFrame:
     h = lambda c, seed: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), F.col(c).cast("string")))
     pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), h(c, 1).alias("a"), h(c, 2).alias("b")) for i, c in enumerate(df.columns))))
     names = F.array(*(F.lit(c) for c in df.columns))
-    return df.select(pairs.alias("p")).groupBy("p.c", "p.a", "p.b").agg(F.count("*").alias("n")).select(names[F.col("c")].alias("column_name"), "a", "b", "n")
+    return spread(df).select(pairs.alias("p")).groupBy("p.c", "p.a", "p.b").agg(F.count("*").alias("n")).select(names[F.col("c")].alias("column_name"), "a", "b", "n")
 
 
 def column_profile(df: DataFrame) -> DataFrame:

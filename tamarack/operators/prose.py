@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import documents as D
 from tamarack.operators import merge
+from tamarack.session import spread
 
 # The words that prose uses for corrections, missing values and states.
 FIRST = "initially|first|originally"
@@ -104,9 +105,15 @@ class ParagraphReader:
         self.labels = {label.lower(): f.name for f in fields for label in (f.name, *f.aliases)}
         words = sorted(self.labels, key=lambda x: (-len(x), x))
         self.label = re.compile(rf"\b(?:{'|'.join(map(re.escape, words))})\b", re.I) if words else re.compile(r"(?!)")
+        self._seen: tuple[str, list[tuple[str, int, int, int]]] = ("", [])
 
     def mentions(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(field, start, end, start of the next mention of another field)."""
+        """(field, start, end, start of the next mention of another field); those of the last text are kept."""
+        if self._seen[0] != text:
+            self._seen = (text, self._mentions(text))
+        return self._seen[1]
+
+    def _mentions(self, text: str) -> list[tuple[str, int, int, int]]:
         found = [(self.labels[m[0].lower()], m.start(), m.end()) for m in self.label.finditer(text)]
         return [(f, a, b, next((c for g, c, _ in found[k + 1 :] if g != f), len(text))) for k, (f, a, b) in enumerate(found)]
 
@@ -256,7 +263,7 @@ def read_paragraphs(paragraphs: DataFrame, fields: list[Field]) -> DataFrame:
                 rows += [(doc, place, record, v.field, v.value, v.confidence, v.is_correction, list(v.alternatives)) for v in values]
             yield pd.DataFrame(rows, columns=["doc_id", "place", "record", "field", "value", "confidence", "is_correction", "alternatives"])
 
-    return paragraphs.select("doc_id", "place", "text").mapInPandas(run, SCHEMA)
+    return spread(paragraphs.select("doc_id", "place", "text")).mapInPandas(run, SCHEMA)
 
 
 def field_states(paragraphs: DataFrame, fields: list[Field]) -> DataFrame:
@@ -268,7 +275,7 @@ def field_states(paragraphs: DataFrame, fields: list[Field]) -> DataFrame:
             rows = [(d, p, f.name, s) for d, p, t in pdf[["doc_id", "place", "text"]].itertuples(index=False) for f in fields if (s := reader.state(t or "", f.name))]
             yield pd.DataFrame(rows, columns=["doc_id", "place", "field", "state"])
 
-    return paragraphs.select("doc_id", "place", "text").mapInPandas(run, "doc_id bigint, place int, field string, state string")
+    return spread(paragraphs.select("doc_id", "place", "text")).mapInPandas(run, "doc_id bigint, place int, field string, state string")
 
 
 def paragraphs_of(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
